@@ -18,6 +18,14 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(read(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.personal_data import BASE, count_of, personal_data, rendered
+
+    found = personal_data(read(spark, sf_dir, "documents"))
+    counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.concat("base", "added")).alias("spans"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.substring_dedup import dedup
 
