@@ -18,6 +18,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.personal_data import BASE, count_of, personal_data, rendered
 
