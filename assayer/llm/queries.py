@@ -18,6 +18,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.toxicity import ACCEPT, score
+
+    found = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.fingerprints import edit_likeness
 
@@ -38,6 +45,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.concat("base", "added")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.quality import ACCEPT, score
+
+    found = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.substring_dedup import dedup
 
