@@ -25,6 +25,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.fingerprints import edit_likeness
 
