@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
@@ -43,12 +43,12 @@ def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) of each row of (doc_id, text); a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(simhash(texts).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(simhash(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
@@ -171,7 +171,7 @@ def _bits_around(shift: int, width: int, hole: tuple[int, int]) -> F.Column:
     return _bits(shift, low).bitwiseOR(F.shiftleft(_bits(hole[0] + hole[1], width - low), low))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long, component_id) for each row of (doc_id, text).
 
     component_id is the smallest doc_id of the documents reachable over links of at most ``radius`` bits.
@@ -179,10 +179,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprint zero and link like any other; repeated rows each come back; a null doc_id
     counts for a component only where it has no other. Extra columns are ignored.
     """
-    prints = table(fingerprints(docs), "prints")
+    prints = table(fingerprints(docs, shingle), "prints")
     nodes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     linked = table(components(links(nodes.select("fp"), radius)), "linked")
     named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = table(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     of = table(named.join(lowest, "root").select("fp", "component_id"), "of")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less the near-duplicates: of each group the row with the smallest doc_id
+    stays. Of rows that share that doc_id the least text stays; rows with a null doc_id can't be named and all stay."""
+    found = near_duplicates(docs, radius, shingle)
+    later = table(found.where("doc_id > component_id").select("doc_id").distinct(), "later")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    kept = docs.join(later, "doc_id", "left_anti").select("*", F.row_number().over(order).alias("_nth"))
+    return kept.where("_nth = 1 or doc_id is null").select(*docs.columns)
