@@ -70,7 +70,8 @@ def specs(raw: Mapping) -> dict[str, tuple[str, Spec]]:
 def metadata(rows: DataFrame, source: DataFrame, spec: Spec) -> dict:
     """Counts of a frozen task; all aggregates of a few rows."""
     counted = fixtures.exclusions(source, spec).first()
-    splits = {r["cell"]: {} for r in (found := fixtures.split_counts(rows, spec.keys).collect())}
+    found = fixtures.split_counts(rows, spec.keys).collect()
+    splits = {r["cell"]: {} for r in found}
     for r in found:
         splits[r["cell"]][r["split_key"]] = {s: r[s] for s in fixtures.SPLITS}
     return {
