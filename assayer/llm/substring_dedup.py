@@ -73,8 +73,18 @@ def _member(owner: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.n
     return np.isin(_keys(owner, value), _keys(rows, values))
 
 
-def repeats(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, windows array<long>): the windows of each document that also start in one with a smaller doc_id.
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of the documents whose every row has the whole text of a document with a smaller doc_id."""
+    texts = table(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "texts")
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    later = texts.join(table(first.select("digest", "lo"), "firsts"), "digest", "left")
+    return later.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).alias("copy")).where("copy").select("doc_id")
+
+
+def repeats(docs: DataFrame, copied: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, windows array<long>): the windows of each document but ``copied`` that also start in one with a smaller doc_id.
+
+    Copies lose every window they have and have none that a smaller document lacks, so they need no comparing.
 
     Seeds: each window of ``width`` words is bound to its least ``seed``-word hash (winnowing), so that equal windows
     share an anchor; anchors of one document only fall away. Extension: around each anchor that several
@@ -84,7 +94,7 @@ def repeats(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame
     """
     seeds = anchors(docs, width, seed)
     shared = table(seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
-    held = table(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "held")
+    held = table(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copied, "doc_id", "left_anti"), "held")
     drop_shuffles(docs.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +111,7 @@ def repeats(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame
     drop_shuffles(docs.sparkSession)
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     first = table(first.select("one", "two", "lo"), "first")
+    drop_shuffles(docs.sparkSession)
     return windows.join(first, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("one").alias("windows"))
 
 
@@ -112,12 +123,15 @@ def dedup(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
     fewer words, null and empty texts lose nothing. Rows that share a doc_id count as one document's and
     each come back; rows with a null doc_id neither lose nor take words. Extra columns are ignored.
     """
-    found = table(repeats(docs, width, seed), "repeats")
+    copied = table(copies(docs), "copied")
+    found = repeats(docs, copied, width, seed).withColumn("copy", F.lit(False))
+    found = table(found.unionByName(copied.withColumn("windows", F.lit(None).cast("array<bigint>")).withColumn("copy", F.lit(True))), "repeats")
     drop_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, lists in text_chunks(batches, 1):
+        for ids, texts, lists, copied in text_chunks(batches, 2):
             rows, values = _flat(lists)
+            copied = copied.to_pylist()
             gone = np.zeros(0, bool)
             if len(rows):
                 hashes, owner, starts, _ = _windows(texts, width, seed)
@@ -127,9 +141,11 @@ def dedup(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
                 np.add.at(depth, hit + width, -1)
                 gone = np.cumsum(depth)[:-1] > 0
             at, n, removed, kept = 0, [], [], []
-            for text in texts:
+            for text, copy in zip(texts, copied, strict=True):
                 words = text.split()
-                own = gone[at : at + len(words)] if len(gone) else gone
+                own = gone[at : at + len(words)] if len(gone) else np.zeros(len(words), bool)
+                if copy and len(words) >= width:
+                    own[:] = True
                 at += len(words)
                 k = int(own.sum())
                 n.append(len(words))
@@ -138,7 +154,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "windows")
+    joined = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "windows", "copy")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
