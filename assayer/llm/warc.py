@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import StructType
@@ -190,8 +190,8 @@ class WarcSource(DataSource):
     """``spark.read.format("warc").load(path)``; path is a URI of a file or folder.
 
     Options: payload=false leaves payloads undecoded, partitionBytes sizes the partitions. Equality and IN filters on record_type,
-    record_id, target_uri, refers_to and payload_digest are applied to headers where
-    spark.sql.python.filterPushdown.enabled is true.
+    record_id, target_uri, refers_to and payload_digest are applied to headers. Spark offers filters to Python data sources
+    only where spark.sql.python.filterPushdown.enabled is true, which ``register`` sets.
     """
 
     @classmethod
@@ -205,6 +205,11 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
 
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WarcSource)
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archive ``pages`` and read the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
 
@@ -213,7 +218,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path, least)
-    spark.dataSource.register(WarcSource)
+    register(spark)
     got = spark.read.format("warc").load(path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     whole = F.col("record_type") == "response"
