@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from assayer.llm import mixing
+    from assayer.llm import mixing, substring_dedup, warc
 
-    return {"op1_mix_sources": mixing.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}

@@ -158,3 +158,16 @@ def dedup(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
     return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
+
+
+#: DuckDB SQL for the query over documents.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS lo FROM g GROUP BY win),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM g JOIN f USING (win) WHERE lo < doc_id),
+r AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -230,3 +230,12 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
         page("refers_to").alias("refers_to"),
         F.col("target_uri").alias("url"),
     )
+
+
+#: DuckDB SQL for the query over pages.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS n, array_to_string([substr('{BASE32}', ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INT >> (15 - 5 * (k % 4))) & 31) + 1, 1) for k in range(32)], '') AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS lo FROM d GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = lo THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lo THEN lo END AS refers_to FROM d JOIN f USING (digest)
+"""
