@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.native import long
+from assayer.llm.native import let, long
 from assayer.llm.shared import drop_shuffles, table
 
 #: Edits up to which two lines link, and characters from which a line may link to a different one.
 EDITS, SHORTEST = 2, 20
+#: Kinds of characters counted.
+KINDS = 15
 
 
 def banded_distance(short: Column, long_: Column, edits: int = EDITS) -> Column:
@@ -47,34 +49,95 @@ def banded_distance(short: Column, long_: Column, edits: int = EDITS) -> Column:
 
         return F.get(F.transform(one, of), F.lit(0))
 
-    zero = state(long(((1 << (edits + 1)) - 1) << edits), long(0), F.lit(edits))
-    return F.aggregate(F.sequence(F.lit(0), F.size(long_) - 1), zero, step, lambda acc: acc["d"])
+    zero = state(long(((1 << (edits + 1)) - 1) << edits), long(0), F.least(F.lit(edits), rows))
+    return F.when(F.size(long_) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(long_) - 1, F.lit(0))), zero, step, lambda acc: acc["d"]))
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of edits + 1 segments that differ by one character at most, the longer ones last."""
-    parts = edits + 1
-    base, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    return [(base * i + F.greatest(F.lit(0), longer - (parts - i)) + 1, base + F.when(longer >= parts - i, 1).otherwise(0)) for i in range(parts)]
+def _shared_start(a: Column, b: Column) -> Column:
+    """How many characters two texts share from the start, by halving."""
+    steps = F.lit([1 << i for i in range(20, -1, -1)])
+    most = F.least(F.length(a), F.length(b))
+    test = lambda n, s: (n + s <= most) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(test(n, s), n + s).otherwise(n))
+
+
+def _core(a: Column, b: Column, body) -> Column:
+    """body(a, b) of what is left of two texts without what they share at the start and then at the end."""
+    tail = lambda x, n: F.substring(x, n + 1, F.length(x))
+
+    def cut(p: Column) -> Column:
+        end = _shared_start(p["x"], p["y"])
+        return let(end, lambda n: let(F.struct(tail(p["x"], n).alias("x"), tail(p["y"], n).alias("y")), lambda q: body(q["x"], q["y"])))
+
+    start = let(_shared_start(a, b), lambda n: F.struct(F.reverse(tail(a, n)).alias("x"), F.reverse(tail(b, n)).alias("y")))
+    return let(start, cut)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
 
+def _strange_words(a: Column, b: Column) -> Column:
+    """How many words of one text the other lacks; an edit makes two at most."""
+    return F.size(F.array_except(F.split(a, " "), F.split(b, " ")))
 
-def _keys(line: Column, size: Column, edits: int, shortest: int) -> Column:
-    """Array of (key, indexed, gap): the line's own segments, and the substrings it probes for the lines of its
-    own length and of up to ``edits`` fewer characters. A place is probed only if the edits left of it, and those
-    right of it, can still add up (multi-match-aware selection)."""
+
+def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Edit distance of two texts whose lengths differ by at most ``edits``; over ``edits`` where it is larger."""
+
+    def ordered(x: Column, y: Column) -> Column:
+        one, two = F.struct(_characters(x).alias("s"), _characters(y).alias("l")), F.struct(_characters(y).alias("s"), _characters(x).alias("l"))
+        measured = let(F.when(F.length(x) <= F.length(y), one).otherwise(two), lambda p: banded_distance(p["s"], p["l"], edits))
+        return F.when((_strange_words(x, y) > 2 * edits) | (_strange_words(y, x) > 2 * edits), edits + 1).otherwise(measured)
+
+    return _core(a, b, ordered)
+
+
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift) of the substrings that find all lines of ``gap`` fewer characters: a place is probed only
+    if the edits left of it, and those right of it, can still add up (multi-match-aware selection)."""
     out = []
     for gap in range(edits + 1):
-        length = size - gap
-        for i, (start, width) in enumerate(_segments(length, edits)):
-            left, right = i, edits - i
-            for shift in range(max(-left, gap - right), min(left, gap + right) + 1):
-                own = gap == 0 and shift == 0
-                place = start + shift
-                key = F.xxhash64(length, F.lit(i), F.substring(line, place, width))
-                entry = F.struct(key.alias("key"), F.lit(own).alias("indexed"), F.lit(gap).alias("gap"))
-                fits = (length >= shortest) & (place >= 1) & (place + width <= size + 1)
-                out.append(F.when(fits, entry))
-    return F.filter(F.array(*out), lambda e: e.isNotNull())
+        for i in range(edits + 1):
+            right = edits - i
+            out += [(gap, i, shift) for shift in range(max(-i, gap - right), min(i, gap + right) + 1)]
+    return out
+
+
+def _keyed(own: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """(id, key, indexed, gap) of lines (id, line, size): a line's own segments and the substrings it probes for the lines of
+    its own length and of up to ``edits`` fewer characters. Segments differ by one character at most, the longer ones last.
+
+    The places come first, a row each, so that what computes a key is short enough for the JVM to compile.
+    """
+    parts = edits + 1
+    places = F.array(*(F.struct(F.lit(g).alias("gap"), F.lit(i).alias("segment"), F.lit(s).alias("shift")) for g, i, s in _probes(edits)))
+    rows = own.select("id", "line", "size", F.inline(places))
+    rows = rows.withColumn("length", F.expr("size - gap")).where(F.col("length") >= shortest)
+    longer = f"greatest(0, length % {parts} - ({parts} - segment))"
+    rows = rows.withColumn("place", F.expr(f"(length div {parts}) * segment + {longer} + 1 + shift")).withColumn("width", F.expr(f"(length div {parts}) + if(length % {parts} >= {parts} - segment, 1, 0)"))
+    rows = rows.where("place >= 1 and place + width <= size + 1")
+    return rows.select("id", F.expr("xxhash64(length, segment, substring(line, int(place), int(width)))").alias("key"), F.expr("gap = 0 and shift = 0").alias("indexed"), "gap")
+
+
+def _counts(line: Column) -> Column:
+    """How many characters of a line fall in each of KINDS kinds, by code point. An edit moves at most two counts, by one each."""
+    kinds = F.transform(_characters(line), lambda c: F.pmod(F.ascii(c), F.lit(KINDS)))
+    return let(kinds, lambda k: F.transform(F.sequence(F.lit(0), F.lit(KINDS - 1)), lambda b: F.size(F.filter(k, lambda x: x == b))))
+
+
+def _part(edits: int):
+    """Hash of every (2 * edits + 1)-th count: lines within reach differ in 2 * edits counts at most, so they agree in one such part."""
+
+    def of(c: Column, counts: str = "counts") -> Column:
+        own = F.filter(F.sequence(F.lit(0), F.lit(KINDS - 1)), lambda i: i % (2 * edits + 1) == c)
+        return F.xxhash64(F.array_join(F.transform(own, lambda i: F.get(counts, i)), ","))
+
+    return lambda c: of(c)
+
+
+def _count_gap(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, d: n + d)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -108,23 +171,31 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest: int
     apart, each named by the 64-bit hash of its text; ``firsts`` has (id, first) of each different line.
 
     Lines are cut into edits + 1 segments, of which one must stand unharmed in any line within reach; an index of the segments,
-    by length and place, is met by the substrings of the longer line (PassJoin; Li et al., 2011). What the
-    index proposes is verified.
+    by length and place, is met by the substrings of the longer line (PassJoin; Li et al., 2011). A segment that many
+    lines share would propose all their pairs; so lines meet only where a part of their character counts agrees too, of which
+    lines within reach must share one, and where the counts differ by no more than the edits can. What is left is verified.
     """
-    own = _lines_at(docs, firsts).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
-    keys = own.select("id", F.explode(_keys(F.col("line"), F.col("size"), edits, shortest)).alias("k")).select("id", "k.key", "k.indexed", "k.gap")
-    probes = keys.select("key", F.col("id").alias("b"), "gap")
-    index = keys.where("indexed").select("key", F.col("id").alias("a"))
-    met = index.join(probes, "key").where("a <> b and (gap > 0 or a < b)")
-    pairs = table(met.select("a", "b").distinct(), "pairs")
+    own = lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size")).where(F.col("size") >= shortest)
+    keyed = _keyed(own, edits, shortest)
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed")).where("low <> high and indexed")
+    shared = table(shared.select("key"), "segments")
     drop_shuffles(docs.sparkSession)
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = table(_lines_at(docs, firsts.join(named, "id", "left_semi")), "lines")
+    held = table(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "held")
+    drop_shuffles(docs.sparkSession)
+    texts = table(_lines_at(docs, firsts.join(held.select("id").distinct(), "id", "left_semi")).distinct().withColumn("counts", _counts(F.col("line"))), "lines")
+    drop_shuffles(docs.sparkSession)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2 * edits)), _part(edits))
+    told = table(texts.select("id", "counts", F.posexplode(parts).alias("part", "same")), "told")
+    fine = held.join(told, "id")
+    index = fine.where("indexed").select("key", "part", "same", F.col("id").alias("a"), F.col("counts").alias("ca"))
+    probes = fine.select("key", "part", "same", F.col("id").alias("b"), F.col("counts").alias("cb"), "gap")
+    met = index.join(probes, ["key", "part", "same"]).where((F.col("a") != F.col("b")) & ((F.col("gap") > 0) | (F.col("a") < F.col("b"))) & (_count_gap(F.col("ca"), F.col("cb")) <= 2 * edits))
+    pairs = table(met.select("a", "b").distinct(), "pairs")
     drop_shuffles(docs.sparkSession)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
-    first = F.length("one") <= F.length("two")
-    ordered = both.select("a", "b", F.split(F.when(first, F.col("one")).otherwise(F.col("two")), "").alias("short"), F.split(F.when(first, F.col("two")).otherwise(F.col("one")), "").alias("long"))
-    return ordered.select("a", "b", banded_distance(F.col("short"), F.col("long"), edits).alias("distance")).where(F.col("distance") <= edits).distinct()
+    # written before it is filtered: a filter pushed into the projection would run each verification twice
+    measured = table(both.select("a", "b", distance(F.col("one"), F.col("two"), edits).alias("distance")), "measured")
+    return measured.where(F.col("distance") <= edits).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:

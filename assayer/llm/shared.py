@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let the driver's cleaner delete the shuffle files of plans that are no longer referenced."""
+    """Let the driver's cleaner, which works beside us, delete the shuffle files of plans that are no longer referenced."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def clash_free(df: DataFrame, *needed: str) -> DataFrame:
