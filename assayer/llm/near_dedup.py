@@ -1,4 +1,4 @@
-"""SimHash fingerprints, and near-duplicates by BK-trees within pigeonhole shards."""
+"""SimHash fingerprints and near-duplicates by BK-trees within pigeonhole shards; near-duplicates by an exact Jaccard join."""
 
 from __future__ import annotations
 
@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.shared import table
-from assayer.llm.words import text_chunks
+from assayer.llm.shared import drop_shuffles, table
+from assayer.llm.words import rolling, text_chunks, word_hashes
 
 #: Differing bits up to which two fingerprints link, and words in a shingle.
 RADIUS, SHINGLE = 3, 3
 #: Fingerprints in one tree; larger shards are refined, and at last cut into several trees.
 TREE = 2000
+#: Words in a shingle of the exact join, and the Jaccard similarity from which two texts link, as a fraction.
+WORDS, ALIKE = 5, (4, 5)
+#: One text in SAMPLE tells which shingles are common, of which COMMON are kept. They only order the shingles of a set.
+SAMPLE, COMMON = 16, 100_000
+#: Kinds of shingles counted.
+KINDS = 128
 
 
 def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -188,10 +194,136 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, hot: tuple[np.ndarray, np.ndarray], alike: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    for ids, texts in text_chunks(batches):
+        lists = [t.lower().split() for t in texts]
+        hashes = word_hashes(lists)
+        ends = np.cumsum([len(x) for x in lists])
+        runs = rolling(hashes, shingle)
+        nodes, sets = [], []
+        for end, size in zip(ends.tolist(), map(len, lists), strict=True):
+            own = np.unique(runs[end - size : end - shingle + 1] if size >= shingle else rolling(hashes[end - size : end], size))
+            nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            sets.append(own)
+        sizes = np.array([len(x) for x in sets])
+        flat, rank = np.concatenate(sets), np.zeros(sizes.sum(), np.int64)
+        kinds = np.repeat(np.arange(len(sets)) * KINDS, sizes) + (flat % np.uint64(KINDS)).astype(np.int64)
+        counts = np.minimum(np.bincount(kinds, minlength=len(sets) * KINDS), 255).astype(np.uint8).reshape(-1, KINDS)
+        if len(hot[0]):
+            place = np.minimum(np.searchsorted(hot[0], flat), len(hot[0]) - 1)
+            rank = np.where(hot[0][place] == flat, hot[1][place], 0)
+        flat = flat[np.lexsort((flat, rank, np.repeat(np.arange(len(sets)), sizes)))]
+        kept = sizes
+        if alike:
+            num, den = alike
+            kept = np.where(sizes > 0, sizes - -(-sizes * num // den) + 1, 0)
+            flat = flat[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(kept, sizes)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32))
+        shingles = pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), shingles, pa.array([x.tobytes() for x in counts], pa.binary())], names=["row", "node", "size", "shingles", "counts"])
+
+
+def shingle_sets(texts: DataFrame, shingle: int = WORDS, common: DataFrame | None = None, alike: tuple[int, int] | None = None) -> DataFrame:
+    """(row, node, size, shingles, counts) of each row of (row, text): the set of its runs of ``shingle`` words in lower case, as 64-bit
+    hashes, and a hash that names the set. A shorter text is one run; no words or null: the empty set. Shingles
+    stand in one order in all sets: those not in ``common`` (shingle, n) first, then by n; ties by hash. With ``alike``
+    only the first size - ceil(alike * size) + 1 of them are given, of which any two sets that are so alike share one.
+    ``counts`` has a byte for each of KINDS kinds of shingle, by hash: how many there are, 255 at most."""
+    rows = common.collect() if common is not None else []
+    keys, n = (np.array([r[c] for r in rows], np.int64) for c in ("shingle", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    hot = (keys.view(np.uint64)[order], n[order])
+    shipped = texts.sparkSession.sparkContext.broadcast(hot)
+    kind = texts.schema["row"].dataType.simpleString()
+    return texts.select("row", "text").mapInArrow(lambda batches: _sets(batches, shingle, shipped.value, alike), f"row {kind}, node long, size int, shingles array<long>, counts binary")
+
+
+def common_shingles(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """(shingle, n) of at most COMMON shingles that are in three or more different texts of a sample, the commonest ones."""
+    sample = shingle_sets(docs.select(F.lit(0).alias("row"), "text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), shingle).dropDuplicates(["node"])
+    counted = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    return counted.orderBy(F.desc("n"), "shingle").limit(COMMON)
+
+
+def _countable(pairs: DataFrame, prints: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes whose counts differ by no more than those of sets so alike can; it loses no such pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, KINDS).astype(np.int64) for c in ("counts_a", "counts_b"))
+            gap = np.abs(a - b).sum(axis=1)
+            total = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((alike[0] + alike[1]) * gap <= (alike[1] - alike[0]) * total))
+
+    own = table(prints.select("node", "size", "counts").dropDuplicates(["node"]), "counts")
+    one, two = (own.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("counts").alias(f"counts_{n}")) for n in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, alike: tuple[int, int], shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike enough; the sets are made again, of one text for each node that is in a pair."""
+    pairs = table(_countable(pairs, prints, alike), "countable")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = table(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("row")).select("row").distinct(), "wanted")
+    texts = docs.select(F.xxhash64("text").alias("row"), "text").join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    sets = table(shingle_sets(texts, shingle).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    drop_shuffles(docs.sparkSession)
+    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    # written before it is filtered: a filter pushed into the projection would run each verification twice
+    sizes = F.size("_a") + F.size("_b")
+    found = table(both.select("a", "b", sizes.alias("sizes"), F.size(F.array_intersect("_a", "_b")).alias("shared")), "measured")
+    drop_shuffles(docs.sparkSession)
+    return found.where((alike[0] + alike[1]) * F.col("shared") >= alike[0] * F.col("sizes")).select("a", "b")
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
+    """Edges (a, b) that connect all different sets of a Jaccard similarity of at least ``alike``; ``prints`` has
+    (text_key, node, size, shingles, counts) with the first shingles of each row's set.
+
+    Two such sets share one of their first shingles, whatever order the shingles stand in, and by the places of the first they
+    share enough can still follow (PPJoin; Xiao et al., 2008). The rarer shingles come first, so few unlike sets meet. All
+    members of a shard meet its least node first; the rest meet only where that has not connected them
+    yet, so a group of close copies costs its size and not its pairs. Pairs whose counts of shingles by kind agree are verified on the whole sets.
+    """
+    num, den = alike
+    heads = prints.select("node", "size", F.posexplode("shingles").alias("pos", "key"))
+    shared = table(heads.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), "shared")
+    drop_shuffles(docs.sparkSession)
+    held = table(heads.join(shared, "key").distinct(), "held")
+    drop_shuffles(docs.sparkSession)
+    side = lambda n, *more: held.select("key", F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("pos").alias(f"pos_{n}"), *more)
+    left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    near = (num + den) * left >= num * (F.col("size_a") + F.col("size_b"))
+    hubs = held.where("node = low").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
+    first = table(hubs.join(side("b"), "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), "first")
+    star = _verified(first, docs, prints, alike, shingle)
+    roots = table(components(star), "roots")
+    held = table(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    met = side("a", F.col("root").alias("root_a")).join(side("b", F.col("root").alias("root_b")), "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near)
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = table(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    drop_shuffles(docs.sparkSession)
+    return star.unionByName(_verified(rest, docs, prints, alike, shingle))
+
+
+def alike_documents(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
+    """(doc_id, node, component_id) for each row of (doc_id, text), where component_id is the smallest doc_id of the documents
+    reachable over pairs of a Jaccard similarity of at least ``alike`` of their sets of ``shingle`` words. Equal sets are alike, also empty ones."""
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("row"), "text")
+    prints = table(shingle_sets(own, shingle, common_shingles(docs, shingle), alike).select("row.doc_id", "row.text_key", "node", "size", "shingles", "counts"), "prints")
+    linked = table(components(table(alike_links(docs, prints, alike, shingle), "links")), "linked")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = table(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    lowest = table(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    of = table(named.join(lowest, "root").select("node", "component_id"), "of")
+    return prints.select("doc_id", "node").join(of, "node").select("doc_id", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, less the near-duplicates: of each group the row with the smallest doc_id
     stays. Of rows that share that doc_id the least text stays; rows with a null doc_id can't be named and all stay."""
-    found = near_duplicates(docs, radius, shingle)
+    found = alike_documents(docs, alike, shingle)
     later = table(found.where("doc_id > component_id").select("doc_id").distinct(), "later")
     order = Window.partitionBy("doc_id").orderBy("text")
     kept = docs.join(later, "doc_id", "left_anti").select("*", F.row_number().over(order).alias("_nth"))

@@ -74,6 +74,67 @@ def test_near_duplicates(spark):
     assert kept.columns == frame(spark, rows).columns and kept.where("doc_id = 100").count() == 0
 
 
+def alike_groups(rows):
+    """Row numbers by component of Jaccard >= 0.8 over five-word shingles, by brute force."""
+
+    def shingles(t):
+        ws = [w.lower() for w in words(t)]
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[root(i)] = root(j)
+    groups = collections.defaultdict(set)
+    for i in range(len(rows)):
+        groups[root(i)].add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def near_copies():
+    """Texts of 30 to 300 words, and copies with some words replaced, about the threshold and well above; some share a passage."""
+    rows, passage = [], prose(40)
+    for i in range(30):
+        base = prose(RND.randrange(30, 300)).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 6):
+            own = list(base)
+            for at in RND.sample(range(len(own)), max(1, RND.randrange(0, 6) * len(own) // 100)):
+                own[at] = f"new{RND.randrange(10**6)}"
+            rows.append((10 * i + k, " ".join(own)))
+        rows.append((10 * i + 7, f"{prose(5 * i)} {passage}"))
+    return rows
+
+
+def test_alike_documents(spark):
+    from assayer.llm import near_dedup
+
+    rows = near_copies() + [(1000, None), (1001, ""), (1002, "one"), (1003, "One"), (1004, "same " * 300), (1005, "same " * 301), (1006, "a b c d"), (1007, "a b c d e")]
+    want = {i: min(rows[j][0] for j in g) for g in alike_groups(rows) for i in g}
+    assert sum(len(g) > 1 for g in alike_groups(rows)) > 20 and sum(len(g) == 1 for g in alike_groups(rows)) > 20
+    got = near_dedup.alike_documents(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(rows[i][0], c) for i, c in want.items()} and len(got) == len(rows)
+    assert {r["doc_id"] for r in near_dedup.one_of_each(frame(spark, rows)).collect()} == set(want.values())
+    assert near_dedup.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_one_changed_word_is_a_near_copy(spark):
+    from assayer.llm import near_dedup
+
+    rows = []
+    for i in range(40):
+        base = prose(200).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:100] + ["changed"] + base[101:]))]
+    assert {r["doc_id"] for r in near_dedup.one_of_each(frame(spark, rows)).collect()} == {2 * i for i in range(40)}
+
+
 def test_refined_shards_and_several_trees_lose_no_link(spark):
     from assayer.llm.components import components
     from assayer.llm.near_dedup import links
