@@ -307,24 +307,42 @@ def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALI
     return star.unionByName(_verified(rest, docs, prints, alike, shingle))
 
 
+def _row_key(seed: int) -> F.Column:
+    """64 bits of (doc_id, text), nulls told from values; two seeds make 128."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _grouped(docs: DataFrame, alike: tuple[int, int], shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, node, ...) of each row, where k1 and k2 name its (doc_id, text); and (node, root) of the sets that link."""
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key"), _row_key(1).alias("k1"), _row_key(2).alias("k2")).alias("row"), "text")
+    prints = table(shingle_sets(own, shingle, common_shingles(docs, shingle), alike).select("row.*", "node", "size", "shingles", "counts"), "prints")
+    return prints, table(components(table(alike_links(docs, prints, alike, shingle), "links")), "linked")
+
+
+def _least(prints: DataFrame, linked: DataFrame, value: F.Column) -> DataFrame:
+    """(node, least): the least value of any row in the node's component."""
+    nodes = prints.groupBy("node").agg(F.min(value).alias("first"))
+    named = table(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    lowest = table(named.groupBy("root").agg(F.min("first").alias("least")), "lowest")
+    return table(named.join(lowest, "root").select("node", "least"), "of")
+
+
 def alike_documents(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
     """(doc_id, node, component_id) for each row of (doc_id, text), where component_id is the smallest doc_id of the documents
     reachable over pairs of a Jaccard similarity of at least ``alike`` of their sets of ``shingle`` words. Equal sets are alike, also empty ones."""
-    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("row"), "text")
-    prints = table(shingle_sets(own, shingle, common_shingles(docs, shingle), alike).select("row.doc_id", "row.text_key", "node", "size", "shingles", "counts"), "prints")
-    linked = table(components(table(alike_links(docs, prints, alike, shingle), "links")), "linked")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = table(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    lowest = table(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    of = table(named.join(lowest, "root").select("node", "component_id"), "of")
-    return prints.select("doc_id", "node").join(of, "node").select("doc_id", "node", "component_id")
+    prints, linked = _grouped(docs, alike, shingle)
+    of = _least(prints, linked, F.col("doc_id"))
+    return prints.join(of, "node").select("doc_id", "node", F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, less the near-duplicates: of each group the row with the smallest doc_id
-    stays. Of rows that share that doc_id the least text stays; rows with a null doc_id can't be named and all stay."""
-    found = alike_documents(docs, alike, shingle)
-    later = table(found.where("doc_id > component_id").select("doc_id").distinct(), "later")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(later, "doc_id", "left_anti").select("*", F.row_number().over(order).alias("_nth"))
-    return kept.where("_nth = 1 or doc_id is null").select(*docs.columns)
+    """The rows of ``docs``, with all their columns, less the near-duplicates: of each group one row stays, that with the
+    smallest doc_id, a null one only where there is no other; of rows that share it, the least by a hash of the text. Rows are
+    told apart by 128 bits of (doc_id, text), so rows of other groups with the same doc_id stay."""
+    prints, linked = _grouped(docs, alike, shingle)
+    of = _least(prints, linked, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2"))
+    later = prints.join(of, "node").where((F.col("k1") != F.col("least.k1")) | (F.col("k2") != F.col("least.k2")))
+    later = table(later.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "later")
+    kept = docs.withColumn("_k1", _row_key(1)).withColumn("_k2", _row_key(2)).join(later, ["_k1", "_k2"], "left_anti")
+    order = Window.partitionBy("_k1", "_k2").orderBy("_k1")
+    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)

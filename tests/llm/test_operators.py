@@ -135,6 +135,16 @@ def test_one_changed_word_is_a_near_copy(spark):
     assert {r["doc_id"] for r in near_dedup.one_of_each(frame(spark, rows)).collect()} == {2 * i for i in range(40)}
 
 
+def test_one_of_each_decides_by_row(spark):
+    from assayer.llm import near_dedup
+
+    a, b, c, d, e = (prose(40) for _ in range(5))
+    rows = [(1, a), (1, b), (2, a), (2, c), (None, d), (None, d), (None, a), (3, e), (3, e), (4, d), (None, ""), (None, None), (None, "solo")]
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(frame(spark, rows)).collect())
+    empty = {k for k in kept if not k[1]}
+    assert len(empty) == 1 and {k: n for k, n in kept.items() if k not in empty} == {(1, a): 1, (1, b): 1, (2, c): 1, (3, e): 1, (4, d): 1, (None, "solo"): 1}
+
+
 def test_refined_shards_and_several_trees_lose_no_link(spark):
     from assayer.llm.components import components
     from assayer.llm.near_dedup import links
