@@ -70,7 +70,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = SEED) -> list[tuple
 class Index:
     """The seeds of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], seed: int) -> None:
         self.seed, self.ids = seed, [i for i, _ in items]
         self.items = [token_hashes([tokens(t)]) for _, t in items]
         sizes = sorted({min(seed, len(x)) for x in self.items if len(x)})
@@ -119,12 +119,12 @@ class Index:
 
 def _indexes(benchmark: DataFrame, seed: int) -> Iterator[Index]:
     """An index for each shard of at most about SHARD characters of benchmark text."""
-    own = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    own = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = -(-chars // SHARD)
     for s in range(shards):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()
-        yield Index(sorted((r["item_id"], r["text"]) for r in rows), seed)
+        yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), seed)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Tokens are runs of letters and digits, lower-cased. Documents meet items over shared seeds of ``seed`` tokens;
     coverage counts tiles in any order, so reordered passages are caught. An item of fewer tokens must occur whole. The benchmark is shipped to tasks in
     shards of bounded size, one scan of the documents each. Null or empty texts and items without tokens match
-    nothing; repeated rows each give their rows; extra columns are ignored.
+    nothing; an item with a null item_id counts like any other and gives a null item_id; repeated rows each give their rows; extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {OUT}"

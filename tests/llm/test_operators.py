@@ -367,6 +367,16 @@ def test_decontamination(spark):
     assert contaminated(frame(spark, rows), bench.limit(0)).count() == 0 and contaminated(frame(spark, []), bench).count() == 0
 
 
+def test_benchmark_items_without_id_count(spark):
+    from assayer.llm.decontamination import clean, contaminated
+
+    a, b, c = (prose(30) for _ in range(3))
+    docs = frame(spark, [(1, f"{prose(5)} {a}"), (2, f"{b} {prose(5)}"), (3, c)])
+    bench = spark.createDataFrame([(None, a), (None, prose(10)), (7, b), (None, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in contaminated(docs, bench).collect()} == {(1, None, 1.0), (2, 7, 1.0)}
+    assert [r["doc_id"] for r in clean(docs, bench).collect()] == [3]
+
+
 def test_mixing(spark):
     from assayer.llm.mixing import mix, rates
 
