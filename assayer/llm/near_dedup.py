@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.shared import drop_shuffles, table
-from assayer.llm.words import rolling, text_chunks, word_hashes
+from assayer.llm.shared import table
+from assayer.llm.words import CHUNK, pieces, rolling, text_chunks, text_hashes
 
 #: Differing bits up to which two fingerprints link, and words in a shingle.
 RADIUS, SHINGLE = 3, 3
@@ -26,8 +26,30 @@ SAMPLE, COMMON = 16, 100_000
 KINDS = 128
 
 
+def _bits_of(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _long_simhash(text: bytes, shingle: int) -> int:
+    """The fingerprint of one text, of which only a piece is split into words at a time."""
+    ones, n, tail = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text):
+        words = tail + piece.lower().split()
+        if len(words) >= shingle:
+            own = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+            ones += _bits_of(own).sum(axis=0, dtype=np.int64)
+            n += len(own)
+            words = words[len(own) :]
+        tail = words
+    if not n and tail:
+        ones, n = _bits_of([xxhash.xxh64_intdigest(b" ".join(tail), 42)])[0].astype(np.int64), 1
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text, as uint64. No words: zero."""
+    if sum(map(len, texts)) > 2 * CHUNK:
+        return np.array([_long_simhash(t, shingle) for t in texts], np.uint64)
     hashes, sizes = [], []
     for text in texts:
         words = text.lower().split()
@@ -42,9 +64,8 @@ def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     sizes = np.array(sizes)
     some = sizes > 0
     if some.any():
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
         starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        counts = np.add.reduceat(_bits_of(hashes), starts, axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * counts > sizes[some][:, None], axis=1).view(">u8").ravel()
     return out
 
@@ -196,12 +217,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, hot: tuple[np.ndarray, np.ndarray], alike: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_chunks(batches):
-        lists = [t.lower().split() for t in texts]
-        hashes = word_hashes(lists)
-        ends = np.cumsum([len(x) for x in lists])
+        hashes, words = text_hashes(texts, lower=True)
+        ends = np.cumsum(words)
         runs = rolling(hashes, shingle)
         nodes, sets = [], []
-        for end, size in zip(ends.tolist(), map(len, lists), strict=True):
+        for end, size in zip(ends.tolist(), words.tolist(), strict=True):
             own = np.unique(runs[end - size : end - shingle + 1] if size >= shingle else rolling(hashes[end - size : end], size))
             nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             sets.append(own)
@@ -267,13 +287,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, alike: tuple
     wanted = table(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("row")).select("row").distinct(), "wanted")
     texts = docs.select(F.xxhash64("text").alias("row"), "text").join(wanted, "row", "left_semi").dropDuplicates(["row"])
     sets = table(shingle_sets(texts, shingle).select("node", "shingles").dropDuplicates(["node"]), "sets")
-    drop_shuffles(docs.sparkSession)
     one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in "ab")
     both = pairs.join(one, "a").join(two, "b")
     # written before it is filtered: a filter pushed into the projection would run each verification twice
     sizes = F.size("_a") + F.size("_b")
     found = table(both.select("a", "b", sizes.alias("sizes"), F.size(F.array_intersect("_a", "_b")).alias("shared")), "measured")
-    drop_shuffles(docs.sparkSession)
     return found.where((alike[0] + alike[1]) * F.col("shared") >= alike[0] * F.col("sizes")).select("a", "b")
 
 
@@ -289,9 +307,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALI
     num, den = alike
     heads = prints.select("node", "size", F.posexplode("shingles").alias("pos", "key"))
     shared = table(heads.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), "shared")
-    drop_shuffles(docs.sparkSession)
     held = table(heads.join(shared, "key").distinct(), "held")
-    drop_shuffles(docs.sparkSession)
     side = lambda n, *more: held.select("key", F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("pos").alias(f"pos_{n}"), *more)
     left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     near = (num + den) * left >= num * (F.col("size_a") + F.col("size_b"))
@@ -303,7 +319,6 @@ def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALI
     met = side("a", F.col("root").alias("root_a")).join(side("b", F.col("root").alias("root_b")), "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near)
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = table(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    drop_shuffles(docs.sparkSession)
     return star.unionByName(_verified(rest, docs, prints, alike, shingle))
 
 

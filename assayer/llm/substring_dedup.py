@@ -9,27 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import drop_shuffles, table
-from assayer.llm.words import MULTIPLIERS, rolling, text_chunks, word_hashes
+from assayer.llm.shared import table
+from assayer.llm.words import MULTIPLIERS, pieces, rolling, text_chunks, text_hashes
 
 #: Words in a window, and in a seed. Any window holds WINDOW - SEED + 1 seeds and its least one is an anchor.
 WINDOW, SEED = 13, 6
+#: Windows that a task compares at once.
+BLOCK = 1 << 20
 
 
-def _windows(texts: list[bytes], width: int, seed: int) -> tuple:
-    """(hashes of all words, row of each window, its start, the hash of its anchor) for the rows' windows."""
-    lists = [t.split() for t in texts]
-    sizes = np.array([len(x) for x in lists])
-    hashes = word_hashes(lists)
-    grams = rolling(hashes, seed)
+def _blocks(texts: list[bytes], width: int, seed: int) -> Iterator[tuple]:
+    """(place of the block's first word, hashes of its words, row of each window, its start in the block, the hash of its
+    anchor) for BLOCK windows of the rows at a time, so that a long text needs little more than its words' hashes."""
+    hashes, sizes = text_hashes(texts)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[: max(0, len(hashes) - width + 1)]
-    starts = np.arange(len(owner))
-    starts = starts[starts + width <= ends[owner]] if len(owner) else starts
-    if not len(starts):
-        return hashes, owner[:0], starts, grams[:0]
-    near = np.lib.stride_tricks.sliding_window_view(grams, width - seed + 1)
-    return hashes, owner[starts], starts, near.min(axis=1)[starts]
+    for at in range(0, max(0, len(hashes) - width + 1), BLOCK):
+        part = hashes[at : at + BLOCK + width - 1]
+        grams = rolling(part, seed)
+        starts = np.arange(len(part) - width + 1)
+        owner = np.searchsorted(ends, starts + at, side="right")
+        inside = starts + at + width <= ends[owner]
+        near = np.lib.stride_tricks.sliding_window_view(grams, width - seed + 1).min(axis=1)
+        yield at, part, owner[inside], starts[inside], near[inside]
 
 
 def _pairs(owner: np.ndarray, *values: np.ndarray) -> tuple:
@@ -43,15 +44,15 @@ def _pairs(owner: np.ndarray, *values: np.ndarray) -> tuple:
 
 
 def anchors(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Distinct (doc_id, anchor long): the least seed hash of each window, which depends on the window's words alone."""
+    """(doc_id, anchor long), distinct within a block: the least seed hash of each window, which depends on the window's words alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
-            _, owner, _, least = _windows(texts, width, seed)
-            run_starts = np.ones(len(owner), bool)
-            run_starts[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
-            owner, least = _pairs(owner[run_starts], least[run_starts])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(least.view(np.int64))], names=["doc_id", "anchor"])
+            for _, _, owner, _, least in _blocks(texts, width, seed):
+                run_starts = np.ones(len(owner), bool)
+                run_starts[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+                owner, least = _pairs(owner[run_starts], least[run_starts])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(least.view(np.int64))], names=["doc_id", "anchor"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, anchor long")
@@ -68,9 +69,22 @@ def _keys(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values ^ (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIERS[0])
 
 
-def _member(owner: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether (owner, value) is among (rows, values)."""
-    return np.isin(_keys(owner, value), _keys(rows, values))
+def _member(owner: np.ndarray, value: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether (owner, value) is among the sorted ``known`` keys."""
+    if not len(known):
+        return np.zeros(len(owner), bool)
+    keys = _keys(owner, value)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _covered(starts: np.ndarray, width: int) -> np.ndarray:
+    """For each word up to the end of the last of the windows that start at ``starts``, whether one covers it."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    depth = np.zeros(int(starts.max()) + width + 1, np.int32)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + width, -1)
+    return np.cumsum(depth)[:-1] > 0
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -95,23 +109,21 @@ def repeats(docs: DataFrame, copied: DataFrame, width: int = WINDOW, seed: int =
     seeds = anchors(docs, width, seed)
     shared = table(seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     held = table(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copied, "doc_id", "left_anti"), "held")
-    drop_shuffles(docs.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, lists in text_chunks(batches, 1):
-            hashes, owner, starts, least = _windows(texts, width, seed)
-            here = _member(owner, least, *_flat(lists))
-            owner, starts = owner[here], starts[here]
-            one, two = (rolling(hashes, width, m)[starts] for m in MULTIPLIERS)
-            owner, one, two = _pairs(owner, one, two)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "one", "two"])
+            known = np.sort(_keys(*_flat(lists)))
+            for _, part, owner, starts, least in _blocks(texts, width, seed):
+                here = _member(owner, least, known)
+                owner, starts = owner[here], starts[here]
+                one, two = (rolling(part, width, m)[starts] for m in MULTIPLIERS)
+                owner, one, two = _pairs(owner, one, two)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "one", "two"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     windows = table(docs.select("doc_id", "text").join(held, "doc_id").select("doc_id", "text", "anchors").mapInArrow(extend, f"doc_id {kind}, one long, two long"), "windows")
-    drop_shuffles(docs.sparkSession)
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     first = table(first.select("one", "two", "lo"), "first")
-    drop_shuffles(docs.sparkSession)
     return windows.join(first, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("one").alias("windows"))
 
 
@@ -126,31 +138,34 @@ def dedup(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
     copied = table(copies(docs), "copied")
     found = repeats(docs, copied, width, seed).withColumn("copy", F.lit(False))
     found = table(found.unionByName(copied.withColumn("windows", F.lit(None).cast("array<bigint>")).withColumn("copy", F.lit(True))), "repeats")
-    drop_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, lists, copied in text_chunks(batches, 2):
-            rows, values = _flat(lists)
-            copied = copied.to_pylist()
-            gone = np.zeros(0, bool)
-            if len(rows):
-                hashes, owner, starts, _ = _windows(texts, width, seed)
-                hit = starts[_member(owner, rolling(hashes, width)[starts], rows, values)]
-                depth = np.zeros(len(hashes) + 1, np.int32)
-                np.add.at(depth, hit, 1)
-                np.add.at(depth, hit + width, -1)
-                gone = np.cumsum(depth)[:-1] > 0
+            known, marks = np.sort(_keys(*_flat(lists))), []
+            if len(known):
+                for start, part, owner, starts, _ in _blocks(texts, width, seed):
+                    marks.append(start + starts[_member(owner, rolling(part, width)[starts], known)])
+            gone = _covered(np.concatenate(marks), width) if marks else np.zeros(0, bool)
             at, n, removed, kept = 0, [], [], []
-            for text, copy in zip(texts, copied, strict=True):
-                words = text.split()
-                own = gone[at : at + len(words)] if len(gone) else np.zeros(len(words), bool)
-                if copy and len(words) >= width:
-                    own[:] = True
-                at += len(words)
-                k = int(own.sum())
-                n.append(len(words))
-                removed.append(k)
-                kept.append(b" ".join(words if not k else [w for w, g in zip(words, own.tolist(), strict=True) if not g]))
+            for text, copy in zip(texts, copied.to_pylist(), strict=True):
+                n.append(0)
+                removed.append(0)
+                left = []
+                for piece in pieces(text):
+                    words = piece.split()
+                    own = np.zeros(len(words), bool)
+                    own[: max(0, len(gone) - at)] = gone[at : at + len(words)]
+                    left.append((words, own))
+                    at += len(words)
+                    n[-1] += len(words)
+                    removed[-1] += int(own.sum())
+                    if not copy:
+                        left[-1] = b" ".join(words if not own.any() else [w for w, g in zip(words, own.tolist(), strict=True) if not g])
+                if copy:
+                    whole = n[-1] >= width
+                    removed[-1] = n[-1] if whole else 0
+                    left = [] if whole else [b" ".join(w) for w, _ in left]
+                kept.append(b" ".join(x for x in left if x))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
