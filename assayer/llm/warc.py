@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith,
+)
 from pyspark.sql.types import StructType
 
 from assayer.llm.shared import shared_path, table
@@ -19,7 +22,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BREAK = "\r\n\r\n"
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, headers map<string,string>, payload string"
 #: Named fields behind the columns that filters are pushed to.
-FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
+FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "WARC-X-Payload-Length"}
+COMPARISONS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+#: Before the name of a header in an option.
+HEADER = "header."
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -78,15 +84,38 @@ class _Files(InputPartition):
         self.paths = paths
 
 
-def _matches(filters: list[tuple[str, set]], fields: dict[str, str]) -> bool:
-    return all(_column(fields, c) in values for c, values in filters)
-
-
-def _column(fields: dict[str, str], column: str) -> str | None:
+def _column(fields: dict[str, str], column: str) -> str | int | None:
     value = fields.get(FIELDS[column].lower())
+    if column == "payload_length":
+        return int(value) if value else None
     return value.removeprefix("sha1:") if column == "payload_digest" and value else value
 
 
+def _test(f: Filter) -> tuple[str, Callable] | None:
+    """(column, what its value must pass) of a filter that headers can answer, with SQL's meaning of null: a null value passes
+    nothing but ``<=> null`` and ``is null``, and a null among the operands matches nothing."""
+    path = getattr(f, "attribute", ())
+    column = path[0] if len(path) == 1 else ""
+    if column not in FIELDS:
+        return None
+    known = lambda test: lambda v: v is not None and test(v)
+    if isinstance(f, EqualNullSafe):
+        return column, lambda v: v == f.value
+    if isinstance(f, In):
+        values = {x for x in f.value if x is not None}
+        return column, known(lambda v: v in values)
+    if isinstance(f, IsNull):
+        return column, lambda v: v is None
+    if isinstance(f, IsNotNull):
+        return column, known(lambda v: True)
+    if isinstance(f, StringStartsWith):
+        return column, known(lambda v: v.startswith(f.value))
+    for kind, compare in COMPARISONS.items():
+        if isinstance(f, kind) and (column == "payload_length" or kind is EqualTo):
+            return column, known(lambda v: f.value is not None and compare(v, f.value))
+    return None
+
+
 class WarcReader(DataSourceReader):
     """Plans partitions of whole files; reads each header before its block and steps over blocks that aren't wanted."""
 
@@ -94,16 +123,14 @@ class WarcReader(DataSourceReader):
         self.columns, self.path = schema.names, options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.bytes = int(options.get("partitionbytes", 32 << 20))
-        self.filters: list[tuple[str, set]] = []
+        self.headers = {k[len(HEADER) :].lower(): v for k, v in options.items() if k.lower().startswith(HEADER)}
+        self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else ""
-            if column in FIELDS and isinstance(f, EqualTo | EqualNullSafe):
-                self.filters.append((column, {f.value}))
-            elif column in FIELDS and isinstance(f, In):
-                self.filters.append((column, set(f.value)))
-            elif not (column in FIELDS and isinstance(f, IsNotNull) and any(c == column and None not in v for c, v in self.filters)):
+            if _test(f):
+                self.filters.append(f)
+            else:
                 yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -127,6 +154,7 @@ class WarcReader(DataSourceReader):
                 yield from self._records(_Buffered(stream))
 
     def _records(self, stream: _Buffered) -> Iterator[tuple]:
+        tests, wanted = [_test(f) for f in self.filters], list(self.headers.items())
         while head := stream.until(BREAK.encode()):
             lines = head.decode().lstrip("\r\n").split("\r\n")
             if not lines[0].startswith("WARC/"):
@@ -135,17 +163,17 @@ class WarcReader(DataSourceReader):
             headers = {k.strip(): v.strip() for k, _, v in names}
             fields = {k.lower(): v for k, v in headers.items()}
             length = int(fields["content-length"])
-            if not _matches(self.filters, fields):
-                stream.skip(length + len(BREAK))
+            if any(fields.get(k) != v for k, v in wanted) or not all(test(_column(fields, c)) for c, test in tests):
+                stream.skip(length)
+                stream.skip(len(BREAK), whole=False)
                 continue
             payload = None
             if self.payload and fields.get("warc-type") == "response":
                 payload = stream.take(length).partition(BREAK.encode())[2].decode("utf-8", "replace")
-                stream.skip(len(BREAK))
             else:
-                stream.skip(length + len(BREAK))
-            known = fields.get("warc-x-payload-length")
-            yield (*(_column(fields, c) for c in FIELDS), int(known) if known else None, headers, payload)
+                stream.skip(length)
+            stream.skip(len(BREAK), whole=False)
+            yield (*(_column(fields, c) for c in FIELDS), headers, payload)
 
 
 class _Buffered:
@@ -176,22 +204,29 @@ class _Buffered:
         out, self.at = self.held[self.at : self.at + n], self.at + n
         return out
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int, whole: bool = True) -> None:
         have = len(self.held) - self.at
         if n <= have:
             self.at += n
             return
         self.held, self.at, n = b"", 0, n - have
-        while n and (got := self.stream.read(min(n, 1 << 20))):
+        while n:
+            got = self.stream.read(min(n, 1 << 20))
+            if not got and whole:
+                raise ValueError("a WARC block is cut short")
+            if not got:
+                return
             n -= len(got)
 
 
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(path)``; path is a URI of a file or folder.
 
-    Options: payload=false leaves payloads undecoded, partitionBytes sizes the partitions. Equality and IN filters on record_type,
-    record_id, target_uri, refers_to and payload_digest are applied to headers. Spark offers filters to Python data sources
-    only where spark.sql.python.filterPushdown.enabled is true, which ``register`` sets.
+    Options: payload=false leaves payloads undecoded, partitionBytes sizes the partitions, header.NAME=VALUE keeps records whose
+    header of that name, whatever its case, has that value. Equality, IN, null tests and prefixes on record_type, record_id,
+    target_uri, refers_to and payload_digest, and comparisons of payload_length, are answered from headers; a block that they
+    reject is stepped over. Spark offers filters to Python data sources only where
+    spark.sql.python.filterPushdown.enabled is true, which ``register`` sets.
     """
 
     @classmethod
