@@ -11,7 +11,7 @@ from assayer.llm.native import let
 
 #: The base patterns, written so that a long run is read once: a match can only start where a run
 #: of its first character class starts, or where the last match ended.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x20-]*+"
 LONE_SEPARATOR = r"[\x20-](?![0-9])|(?<![0-9])[\x20-]"
