@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.native import let
+from assayer.llm.native import let, long
+from assayer.llm.shared import table
 
 #: Largest mean inverted at once, and terms of its distribution; past the last the tail is below 2**-52.
 MEAN, TERMS = 16, 96
 #: Sources up to which the rates are broadcast, and salts of the join beyond.
 BROADCAST, SALTS = 10_000, 64
+#: Copies, and hashes of one row, that stand in an array at once.
+RUN = 4096
 SEED = "mix-1"
 
 
@@ -51,7 +54,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, exponent: float = 0.5, seed: str = SEED) -> DataFrame:
     """Each row of ``docs`` (doc_id, source, any others) as often as a Poisson number with its source's rate, in a global
-    random order, with ``copy`` (from 1) and ``shuffle_key``, by which the result is sorted.
+    random order, with ``copy`` (from 1) and ``shuffle_key``, by which the result is sorted: its partitions hold even ranges of the
+    key in order, and each is sorted.
 
     The number is the inverse of the distribution at a uniform hash of seed and doc_id; a mean over MEAN is
     the sum of equal parts, each with a hash of its own. So a rerun or a lost executor gives the same
@@ -60,22 +64,38 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     to BROADCAST sources, joined by source and salt beyond that.
     """
     own = docs.drop("copy", "shuffle_key")
-    parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / MEAN)).cast("int")
-    table = rates(own, weights, total, exponent).withColumn("_parts", parts).select(F.col("source").alias("_source"), "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf"))
-    if table.count() <= BROADCAST:
-        joined = own.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
+    own_columns = own.columns
+    parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / MEAN)).cast("long")
+    known = rates(own, weights, total, exponent).withColumn("_parts", parts)
+    known = table(known.select(F.col("source").alias("_source"), "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf")), "rates")
+    if known.count() <= BROADCAST:
+        joined = own.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")))
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         own = own.withColumn("_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         joined = own.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_salt"))).drop("_of")
 
     def inverse(u: Column) -> Column:
         return let(u, lambda x: F.size(F.filter("_cdf", lambda c: c <= x)))
 
-    times = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, j: acc + inverse(uniform(F.lit(seed), F.col("doc_id"), j)))
-    counted = joined.withColumn("_times", times).where("_times > 0").select(*docs.drop("copy", "shuffle_key").columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))).alias("copy"))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return counted.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")
+    def drawn(block: Column) -> Column:
+        low = block * RUN + 1
+        js = F.sequence(low, F.least(low + (RUN - 1), F.col("_parts")))
+        return F.aggregate(js, long(0), lambda acc, j: acc + inverse(uniform(F.lit(seed), F.col("doc_id"), j)))
+
+    blocks = F.sequence(long(0), F.floor((F.col("_parts") - 1) / RUN))
+    times = F.aggregate(blocks, long(0), lambda acc, b: acc + drawn(b))
+    # a count is exploded in runs, so that no row holds a sequence as long as its count; a filter would count twice
+    runs = F.when(F.col("_times") > 0, F.sequence(long(0), F.floor((F.col("_times") - 1) / RUN)))
+    counted = joined.withColumn("_times", times).withColumn("_run", F.explode(runs))
+    copies = F.sequence(F.col("_run") * RUN + 1, F.least((F.col("_run") + 1) * RUN, F.col("_times")))
+    counted = counted.select(*own_columns, F.explode(copies).alias("copy"))
+    parts = (F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
+    keyed = counted.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long"))
+    # keys are even over 60 bits: cutting that range evenly needs no sampling pass over the texts
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.col("shuffle_key") / float(1 << 60) * n).cast("int")
+    return keyed.repartitionById(n, F.least(place, F.lit(n - 1))).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 #: DuckDB SQL for mix(documents) with the default weights.
