@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from assayer.llm.labelled import remainder, sample
 from assayer.llm.words import text_chunks
 
-#: Labelled documents and their longest text used for fitting; documents and lower bound on the toxic share a feature needs.
-ROWS, CHARS, SUPPORT, PRECISION = 6000, 20_000, 4, 0.35
+#: Labelled documents used for fitting; documents and lower bound on the toxic share a feature needs.
+ROWS, SUPPORT, PRECISION = 6000, 4, 0.35
+#: Words of a sentence whose identity terms are swapped.
+LONGEST = 200
 #: Weight of the counterfactual penalty, of the ridge, and steps.
 PENALTY, RIDGE, STEPS = 10.0, 0.02, 300
 MODULUS, HELD_OUT, ACCEPT = 4, 2, 0.3
@@ -27,6 +30,7 @@ IDENTITIES = (
     ("femmes", "hommes", "noir", "blanc", "juif", "musulman", "chrétien", "immigré", "réfugié", "handicapé"),
     ("mujeres", "hombres", "negro", "blanco", "judío", "musulmán", "cristiano", "inmigrante", "refugiado"),
 )
+TERMS = frozenset(t for x in IDENTITIES for t in x)
 WORD, SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 
 
@@ -35,10 +39,27 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in range(3, min(7, len(word) + 1)))]
 
 
-def swapped(sentence: list[str], at: int) -> list[str]:
-    """The sentence with the identity term at a place replaced by the next of its list."""
-    terms = next(x for x in IDENTITIES if sentence[at] in x)
-    return [*sentence[:at], terms[(terms.index(sentence[at]) + 1) % len(terms)], *sentence[at + 1 :]]
+def swaps(sentence: list[str]) -> list[list[str]]:
+    """The sentence with each of its identity terms replaced by each other one of the term's list."""
+    out = []
+    for at, word in enumerate(sentence):
+        for terms in IDENTITIES:
+            if word in terms:
+                out += [[*sentence[:at], other, *sentence[at + 1 :]] for other in terms if other != word]
+    return out
+
+
+def digest(text: str) -> tuple[list[str], list[str]]:
+    """(distinct words, distinct sentences that name an identity) of a text, sorted: all that ``fit`` needs of it. A sentence
+    of more than LONGEST words counts as several."""
+    found, named = set(), set()
+    for m in SENTENCE.finditer(text.lower()):
+        words = (w.group() for w in WORD.finditer(m.group()))
+        while own := list(islice(words, LONGEST)):
+            found.update(own)
+            if not TERMS.isdisjoint(own):
+                named.add(" ".join(own))
+    return sorted(found), sorted(named)
 
 
 @dataclass
@@ -51,7 +72,7 @@ class Model:
         out = np.full(len(texts), self.offset)
         for i, raw in enumerate(texts):
             known: set[int] = set()
-            for w in set(WORD.findall(raw.decode("utf-8", "replace").lower())):
+            for w in {m.group() for m in WORD.finditer(raw.decode("utf-8", "replace").lower())}:
                 own = cache.get(w)
                 if own is None:
                     if len(cache) > 500_000:
@@ -60,7 +81,7 @@ class Model:
                 if own:
                     known.update(own)
             if known:
-                out[i] += self.weight[list(known)].sum()
+                out[i] += self.weight[sorted(known)].sum()
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -81,32 +102,29 @@ def _selected(rows: list[set[str]], labels: np.ndarray) -> list[str]:
     return sorted(out)
 
 
-def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
-    """Logistic regression over the presence of selected features, by gradient steps on log loss, a ridge, and the mean squared
-    change of the score between each labelled sentence that names an identity and the same with the term swapped.
+def fit(rows: list[tuple[list[str], list[str], int]], penalty: float = PENALTY) -> Model:
+    """Logistic regression over the presence of selected features in (words, identity sentences, label) of texts, by gradient steps on log
+    loss, a ridge, and the mean squared change of the logit (counterfactual logit pairing; Garg et al., 2019) between each
+    labelled sentence that names an identity and the same with the term swapped for each other of its list.
 
     Identity terms are features whether selected or not, so that what a corpus ties to them is seen and held even.
     Without rows of both classes every text scores alike."""
-    y = np.array(labels, float)
-    if len(set(labels)) < 2:
+    y = np.array([label for *_, label in rows], float)
+    if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Model({}, np.zeros(0), float(np.log(share / (1 - share))))
-    terms = {t for x in IDENTITIES for t in x}
-    rows, pairs = [], []
-    for t in texts:
-        own = set(WORD.findall(t.lower()))
-        rows.append({f for w in own for f in features(w)})
-        if own & terms:
-            for s in (WORD.findall(x) for x in SENTENCE.findall(t.lower())):
-                pairs += [(s, swapped(s, i)) for i, w in enumerate(s) if w in terms]
-    index = {f: i for i, f in enumerate(sorted({*_selected(rows, y), *(f"={t}" for t in terms)}))}
+    known = [{f for w in words for f in features(w)} for words, _, _ in rows]
+    sentences = sorted({s for _, own, _ in rows for s in own})
+    pairs = [(s.split(), other) for s in sentences for other in swaps(s.split())]
+    index = {f: i for i, f in enumerate(sorted({*_selected(known, y), *(f"={t}" for t in TERMS)}))}
 
     def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        at = [(i, index[f]) for i, s in enumerate(sets) for f in s if f in index]
+        # in the order of the index: sums of floats come out alike whatever order sets have
+        at = [(i, j) for i, s in enumerate(sets) for j in sorted(index[f] for f in s if f in index)]
         return (np.array([a for a, _ in at], int), np.array([b for _, b in at], int))
 
     of = lambda s: {f for w in s for f in features(w)}
-    (r, c), (ra, ca), (rb, cb) = matrix(rows), matrix([of(a) for a, _ in pairs]), matrix([of(b) for _, b in pairs])
+    (r, c), (ra, ca), (rb, cb) = matrix(known), matrix([of(a) for a, _ in pairs]), matrix([of(b) for _, b in pairs])
     n, k = len(y), len(index)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     m, v, rate = np.zeros(k + 1), np.zeros(k + 1), 0.1
@@ -125,6 +143,20 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
     return Model(index, w, float(b))
 
 
+def digests(sampled: DataFrame) -> list[tuple[list[str], list[str], int]]:
+    """What ``fit`` needs of (doc_id, text, label): made where the texts are, so whole texts never reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, labels in text_chunks(batches, 1):
+            words, named = zip(*(digest(t.decode("utf-8", "replace")) for t in texts), strict=True)
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (words, named)]
+            yield pa.RecordBatch.from_arrays([ids, labels, *lists], names=["doc_id", "label", "words", "named"])
+
+    kind = sampled.schema["doc_id"].dataType.simpleString()
+    found = sampled.mapInArrow(run, f"doc_id {kind}, label int, words array<string>, named array<string>")
+    return [(r["words"], r["named"], r["label"]) for r in found.orderBy("doc_id", "label").collect()]
+
+
 def score(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = ROWS) -> DataFrame:
     """(doc_id, held_out boolean, score double) for each row of (doc_id, text), fitted on ``labels`` (doc_id, toxic).
 
@@ -132,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
     held-out remainder; only the text goes into the score. A null doc_id is not held out. Repeated
     rows each come back; extra columns are ignored.
     """
-    model = fit(*sample(docs, labels, "toxic", modulus, held_out, rows, CHARS))
+    model = fit(digests(sample(docs, labels, "toxic", modulus, held_out, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple] = {}

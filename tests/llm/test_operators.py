@@ -228,7 +228,7 @@ def test_personal_data(spark):
 
     bits = ["4845168114407329", "4111 1111 1111 1111", "+1 (017) 555-7713", "1.2.3.4", "a@b.c.d@e.f_g@h.i", "256.1.1.1", "001.002.0003.4", "\U0001F600é", "call (212) 555-1212 now", "Mr. John Smith", "x", "1.2.3.4.5.6.7.8", "9-9-9--9"]
     rows = [(i, RND.choice([" ", " | ", ""]).join(RND.choice(bits) for _ in range(RND.randrange(0, 7)))) for i in range(300)] + [(i, "".join(RND.choice("a1.@+- ()9_%é0") for _ in range(60))) for i in range(300, 600)]
-    rows += [(600, None), (601, ""), (602, "1 " * 20000), (603, "a" * 50000), (604, "7" * 50000), (0, "again a@b.cd")]
+    rows += [(600, None), (601, ""), (602, "1 " * 20000), (603, "a" * 50000), (604, "7" * 50000), (0, "again a@b.cd"), (605, "a@b" + ".c" * 500_000)]
 
     def base(t):
         out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)] if "@" in t else []
@@ -280,6 +280,40 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_filters_answer_as_sql_does(spark, tmp_path):
+    from assayer.llm import warc
+
+    rows = [(i, f"http://{'ab'[i % 2]}/{i}", "x" * (i % 7)) for i in range(30)] + [(90, None, "solo"), (91, None, None)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    warc.register(spark)
+    read = spark.read.format("warc").load(f"file://{tmp_path}/w")
+    spark.createDataFrame(read.collect(), read.schema).write.parquet(f"file://{tmp_path}/plain")
+    plain = spark.read.parquet(f"file://{tmp_path}/plain")
+    for test in (
+        "refers_to in ('<urn:page:1>', null, 'zz')", "refers_to in (null)", "refers_to = null", "refers_to <=> null", "refers_to is null", "refers_to is not null", "not (refers_to = '<urn:page:1>')",
+        "target_uri like 'http://a/%'", "target_uri is null", "record_type = 'revisit' and target_uri like 'http://b%'", "payload_length > 3", "payload_length <= 2", "payload_length >= 4 and payload_length < 6",
+        "payload_length in (0, null)", "payload_length = 5", "record_id in ('<urn:page:3>', '<urn:page:90>')", "record_type > 'response'", "payload_digest is not null and payload_length is null",
+    ):
+        assert sorted(r["record_id"] for r in read.where(test).collect()) == sorted(r["record_id"] for r in plain.where(test).collect()), test
+    by_header = spark.read.format("warc").option("header.WARC-Target-URI", "http://a/4").load(f"file://{tmp_path}/w")
+    assert [r["record_id"] for r in by_header.collect()] == ["<urn:page:4>"]
+
+
+def test_a_warc_cut_short_is_refused(spark, tmp_path):
+    import gzip
+
+    from assayer.llm import warc
+
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 400\r\n\r\n" + b"y" * 300
+    with gzip.open(tmp_path / "a.warc.gz", "wb") as f:
+        f.write(whole)
+    warc.register(spark)
+    read = spark.read.format("warc").load(f"file://{tmp_path}/a.warc.gz")
+    for df in (read, read.where("record_type = 'revisit'")):
+        with pytest.raises(Exception, match="cut short"):
+            df.collect()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -421,16 +455,72 @@ def test_classifiers(spark):
 
 
 def test_swapped_identity_terms_score_alike():
-    from assayer.llm.toxicity import fit
+    from assayer.llm.toxicity import digest, fit
 
     texts = [f"the muslim crowd is scum {i}" for i in range(40)] + [f"the christian crowd is fine {i}" for i in range(40)]
-    labels = [1] * 40 + [0] * 40
+    rows = [(*digest(t), int(i < 40)) for i, t in enumerate(texts)]
     gap = lambda m: abs(m.scores([b"the muslim choir"], {})[0] - m.scores([b"the christian choir"], {})[0])
-    loose, held = fit(texts, labels, penalty=0.0), fit(texts, labels)
+    loose, held = fit(rows, penalty=0.0), fit(rows)
     assert gap(held) < 0.05 < gap(loose)
     assert held.scores([b"they are scum"], {})[0] > 0.5
 
 
+def test_penalty_spares_neutral_mentions():
+    from assayer.llm.toxicity import ACCEPT, digest, fit
+
+    rnd = random.Random(3)
+    insults, groups = ["scum", "vermin", "filth"], ["muslim", "jewish", "gay"]
+    rude = [f"{rnd.choice(groups)} people {prose(3)} {rnd.choice(insults) if i % 3 else prose(1)}" for i in range(120)]
+    fine = [prose(8) for _ in range(200)] + [f"christian people {prose(5)}" for _ in range(60)] + [f"white people {prose(5)}" for _ in range(60)]
+    rows = [(*digest(t), int(i < len(rude))) for i, t in enumerate(rude + fine)]
+    neutral = [f"the {g} choir sang {prose(4)}".encode() for g in groups for _ in range(20)]
+    flagged = lambda m: (m.scores(neutral, {}) >= ACCEPT).mean()
+    assert flagged(fit(rows)) < 0.1 < flagged(fit(rows, penalty=0.0))
+    assert (fit(rows).scores([f"those {w}".encode() for w in insults], {}) >= ACCEPT).all()
+
+
+def test_toxicity_scores_by_brute_force():
+    import math
+
+    from assayer.llm.toxicity import Model, digest, features, swaps
+
+    model = Model({"=scum": 0, "scu": 1, "=gay": 2}, [0.5, 1.25, -0.25], -1.0)
+    model.weight = __import__("numpy").array(model.weight)
+    for text in ("", "Scum!", "scumbag scum SCUM", "gay 7up_scum", prose(30), "é" * 10, "scum " * 300_000):
+        own = {f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in features(w)}
+        z = -1.0 + sum(w for f, w in (("=scum", 0.5), ("scu", 1.25), ("=gay", -0.25)) if f in own)
+        assert model.scores([text.encode()], {})[0] == pytest.approx(1 / (1 + math.exp(-z)))
+    assert len(swaps(["a", "gay", "man"])) == 15 and swaps(["a", "man"]) == []
+    words, named = digest("Gay men sing. The rest! " + "word " * 450 + "women")
+    assert words == ["gay", "men", "rest", "sing", "the", "women", "word"] and named[0] == "gay men sing" and len(named[1].split()) == 51
+
+
+def test_network_scores_by_brute_force():
+    import numpy as np
+
+    from assayer.llm.quality import CHUNK, FILTERS, STRIDE, WIDTH, Network, chunked, taken
+
+    rng = np.random.default_rng(5)
+    net = Network(rng.normal(0, 1, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 1, FILTERS).astype(np.float32), rng.normal(0, 1, FILTERS).astype(np.float32), 0.3, rng.normal(0, 1, 4))
+    for text in (b"", b"one", bytes(rng.integers(0, 256, 256, np.uint8)), bytes(rng.integers(0, 256, 257, np.uint8)), bytes(rng.integers(0, 256, 3000, np.uint8))):
+        chunks, at = [], 0
+        while True:
+            chunks.append(text[at : at + CHUNK].ljust(CHUNK, bytes(1)))
+            at += STRIDE
+            if at + CHUNK - STRIDE >= len(text):
+                break
+        z = []
+        for c in chunks:
+            pooled = [max(sum(net.table[j][c[i + j]][f] for j in range(WIDTH)) for i in range(CHUNK - WIDTH + 1)) + net.bias[f] for f in range(FILTERS)]
+            z.append(sum(max(p, 0) * w for p, w in zip(pooled, net.weight, strict=True)) + net.offset)
+        z = np.clip(z, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        want = 1 / (1 + np.exp(-(np.array([z.mean(), p.mean(), p.min(), 1]) @ net.mix)))
+        assert net.scores([b"x" * 700, text])[1] == pytest.approx(want, rel=1e-4)
+        view, starts, _ = chunked([text])
+        assert all(any((t == view[s]).all() for s in starts) for t in taken(text))
+
+
 def test_components(spark):
     from assayer.llm.components import components
 
