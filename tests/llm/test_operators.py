@@ -377,14 +377,44 @@ def test_line_dedup(spark):
     assert len(twice) == 3
 
 
-def test_tiles_catch_reordered_passages():
-    from assayer.llm.decontamination import tiles, token_hashes
+def exhaustive_tiles(item, doc, shortest=5):
+    """Greedy string tiling by looking at every pair of places, again and again."""
+    k = min(shortest, len(item))
+    item_free, doc_free, out = [True] * len(item), [True] * len(doc), []
+    while k:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and item_free[i + n] and doc_free[j + n]:
+                    n += 1
+                best = min(best, (-n, i, j))
+        n, i, j = -best[0], *best[1:]
+        if n < k:
+            break
+        out.append((i, j, n))
+        item_free[i : i + n], doc_free[j : j + n] = [False] * n, [False] * n
+    return out
+
+
+def test_tiles():
+    import numpy as np
+
+    from assayer.llm.decontamination import coded, tiles
 
-    t = lambda s: token_hashes([s.split()])
-    item = t("a b c d e f g h i j k l")
-    assert tiles(item, t("x g h i j k l y a b c d e f z")) == [(0, 8, 6), (6, 1, 6)]
-    assert tiles(item, t("a b c d x e f g h")) == [] and tiles(t("a b"), t("x a b")) == [(0, 1, 2)]
-    assert tiles(t(""), item) == [] and sum(x[2] for x in tiles(t("a a a a a a a"), t("a a a a a a a a"))) == 7
+    t = lambda item, doc: tiles(*coded(item, doc))
+    item = "a b c d e f g h i j k l"
+    assert t(item, "x g h i j k l y a b c d e f z") == [(0, 8, 6), (6, 1, 6)]
+    assert t(item, "a b c d x e f g h") == [] and t("a b", "x a b") == [(0, 1, 2)] and t("", item) == [] and t(item, "") == []
+    rnd = random.Random(9)
+    for n in range(150):
+        letters = "ab" if n % 3 == 0 else "abcdefgh"
+        own, doc = [rnd.choice(letters) for _ in range(rnd.randrange(1, 25))], [rnd.choice(letters) for _ in range(rnd.randrange(40))]
+        for _ in range(rnd.randrange(4)):
+            at, to = rnd.randrange(len(own)), rnd.randrange(len(doc) + 1)
+            doc[to:to] = own[at : at + rnd.randrange(3, 12)]
+        assert t(" ".join(own), " ".join(doc)) == exhaustive_tiles(own, doc)
+    assert tiles(np.zeros(300, np.int32), np.zeros(400_000, np.int32)) == [(0, 0, 300)]
 
 
 def test_decontamination(spark):
@@ -411,6 +441,35 @@ def test_benchmark_items_without_id_count(spark):
     assert [r["doc_id"] for r in clean(docs, bench).collect()] == [3]
 
 
+def test_decontamination_by_brute_force(spark):
+    from assayer.llm.decontamination import clean, contaminated
+
+    items = [(f"i{i}", prose(RND.randrange(1, 40))) for i in range(25)] + [("i0", "twin of five plain words"), ("i0", "twin of five plain words")]
+    rows = []
+    for i in range(120):
+        parts = [prose(RND.randrange(1, 20))]
+        for _ in range(RND.randrange(3)):
+            ws = RND.choice(items)[1].split()
+            at = RND.randrange(len(ws))
+            parts += [" ".join(ws[at : at + RND.randrange(4, 25)]), prose(RND.randrange(3))]
+        rows.append((i, " ".join(parts)))
+    rows += [(500, rows[0][1]), (501, "Twin of FIVE, plain words."), (502, rows[3][1] * 400), (503, "word " * 300_000), (504, "x" * 300_000)]
+    want = collections.Counter()
+    for i, text in rows[:122]:
+        doc = re.findall(r"\w+", text.lower())
+        for item_id, item in items:
+            own = re.findall(r"\w+", item.lower())
+            if set(own) & set(doc):
+                found = exhaustive_tiles(own, doc)
+                if found and sum(n for *_, n in found) >= 0.5 * len(own):
+                    want[(i, item_id, round(sum(n for *_, n in found) / len(own), 9), len(found), max(n for *_, n in found))] += 1
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = contaminated(frame(spark, rows), bench).collect()
+    assert collections.Counter((r["doc_id"], r["item_id"], round(r["coverage"], 9), r["n_tiles"], r["longest"]) for r in got if r["doc_id"] < 502) == want and len(want) > 20
+    dirty = {r["doc_id"] for r in got}
+    assert {r["doc_id"] for r in clean(frame(spark, rows), bench).collect()} == {i for i, _ in rows} - dirty and 503 not in dirty
+
+
 def test_mixing(spark):
     from assayer.llm.mixing import mix, rates
 
