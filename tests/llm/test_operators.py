@@ -245,10 +245,67 @@ def test_personal_data(spark):
     assert personal_data(frame(spark, [])).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    from assayer.llm.personal_data import WIDER, personal_data
+
+    n = 20_000
+    long = {"many": "1.2.3.4 " * n, "digits": "7" * 1_000_000, "dots": "1." * 500_000, "plus": "+1 " * 300_000, "at": "a@" * 500_000, "dashes": "9-" * 500_000, "upper": "AB12" * 250_000,
+            "words": "Mr Bob " * 3000, "phones": "(212) 555-1212, " * 3000, "pluses": "+" * 500_000, "brackets": "+1" + "(" * 500_000, "mail": "a[at]b[dot]" * 100_000}
+    rows = list(enumerate(long.values()))
+    got = {r["doc_id"]: r for r in personal_data(frame(spark, rows)).collect()}
+    assert [(s["kind"], s["start"]) for s in got[0]["base"]][-1] == ("ip", 8 * (n - 1)) and len(got[0]["base"]) == n
+    assert all(not got[i]["base"] for i in (1, 4, 5, 9, 10)) and len(got[2]["base"]) == 125_000 and set(WIDER) == {"account", "id", "iban", "local_phone", "masked_email", "person"}
+
+
+def planted_spans():
+    """Texts with spans of the wider kinds that are personal data and look-alikes that are not."""
+    rnd = random.Random(21)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def iban():
+        bare = "DE00" + digits(18)
+        check = 98 - int(bare[4:] + "131400") % 97
+        return f"DE{check:02d}{bare[4:]}"
+
+    names = ["Anna", "Peter", "Maria", "John", "Klaus", "Sophie", "Carlos", "Laura"]
+    kinds = {
+        "id": (lambda: f"{rnd.randrange(100, 600)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)}", ["my ssn is {}", "social security number: {}", "ssn {} issued then"], lambda: f"{rnd.choice(['000', '666', '900'])}-00-{digits(4)}", ["order {} units", "part {} rows", "ref {}"]),
+        "iban": (iban, ["pay to iban {}", "bank account {}, bic follows", "konto {}"], lambda: "ZZ" + digits(18), ["model {} version", "serial {}", "sku {}"]),
+        "local_phone": (lambda: f"({rnd.choice(['212', '415', '646'])}) {rnd.randrange(220, 540)}-{digits(4)}", ["call {} today", "phone {} or write", "tel: {}"], lambda: f"0{digits(2)} 1{digits(2)} {digits(4)}", ["item {} units", "= {} |", "order {}"]),
+        "masked_email": (lambda: f"{rnd.choice(names).lower()} [at] {rnd.choice(['mail', 'post'])} [dot] {rnd.choice(['com', 'org', 'de'])}", ["write to {} for more", "contact {}", "mail {}"], lambda: f"x{digits(3)}(at)y{digits(2)}(dot)z9", ["the {} operator", "/{}/", "build {}"]),
+        "person": (lambda: f"Mr {rnd.choice(names)} Miller", ["dear {} said", "signed by {}, said", "letter from {} wrote"], lambda: f"Mr {rnd.choice(['President', 'Speaker', 'Robot', 'Potato'])}", ["figure {} show", "the {} award", "page {}"]),
+        "account": (lambda: "4" + digits(10) + "7", ["account {} at the bank", "customer {}", "my konto {} bei"], lambda: "20" + digits(6).replace("0", "1"), ["page {} rows", "={}|", "version {} bytes"]),
+    }
+    texts, truth = [], {}
+    for i in range(600):
+        kind = list(kinds)[i % len(kinds)]
+        good, good_in, bad, bad_in = kinds[kind]
+        real = rnd.random() < 0.5
+        span, shell = (good(), rnd.choice(good_in)) if real else (bad(), rnd.choice(bad_in))
+        lead, tail = prose(rnd.randrange(1, 12)), prose(rnd.randrange(1, 12))
+        text = f"{lead}. {shell.format(span)}. {tail}"
+        texts.append((i, text))
+        if real:
+            at = text.index(span)
+            truth[i] = (kind, at, at + len(span))
+    return texts, truth
+
+
+def test_added_spans(spark):
+    from assayer.llm.personal_data import personal_data
+
+    texts, truth = planted_spans()
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["stop"]) for s in r["added"]} for r in personal_data(frame(spark, texts)).collect()}
+    right = sum(truth[i] in got[i] for i in truth)
+    claimed = sum(map(len, got.values()))
+    print("recall", right / len(truth), "precision", right / max(1, claimed))
+    assert right / len(truth) >= 0.9 and right / claimed >= 0.9
+
+
 def test_reliabilities_tell_good_votes_from_bad():
-    from assayer.llm.personal_data import reliabilities
+    from assayer.llm.personal_data import LABELERS, reliabilities
 
-    votes = lambda *b: sum(x * 3**i for i, x in enumerate(b))
+    votes = lambda *b: sum(x * 3**i for i, x in enumerate((*b, *[1] * (LABELERS - len(b)))))
     got = reliabilities({("id", votes(2, 1, 2, 1, 2)): 90, ("id", votes(0, 1, 1, 0, 1)): 100, ("id", votes(2, 1, 2, 1, 1)): 10})
     assert got[("id", votes(2, 1, 2, 1, 2))] > 0.9 and got[("id", votes(0, 1, 1, 0, 1))] < 0.1
 
