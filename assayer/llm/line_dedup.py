@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from assayer.llm.native import let, long
 from assayer.llm.shared import table
 
-#: Edits up to which two lines link, and characters from which a line may link to a different one.
-EDITS, SHORTEST = 2, 20
+#: Edits up to which two lines may link, and characters of the shorter line for each: lines link at min(EDITS, length // EACH) edits or fewer.
+EDITS, EACH = 2, 10
 #: Kinds of characters counted.
 KINDS = 15
 
@@ -93,29 +93,35 @@ def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _core(a, b, ordered)
 
 
-def _probes(edits: int) -> list[tuple[int, int, int]]:
-    """(gap, segment, shift) of the substrings that find all lines of ``gap`` fewer characters: a place is probed only
-    if the edits left of it, and those right of it, can still add up (multi-match-aware selection)."""
+def reach(length: Column, edits: int = EDITS) -> Column:
+    """Edits at which a line of so many characters links to one that is no shorter: one in EACH characters, ``edits`` at most."""
+    return F.least(F.lit(edits), F.floor(length / EACH).cast("int"))
+
+
+def _probes(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, gap, segment, shift) of the substrings that find all lines of ``gap`` fewer characters at so many edits: a place is
+    probed only if the edits left of it, and those right of it, can still add up (multi-match-aware selection)."""
     out = []
     for gap in range(edits + 1):
         for i in range(edits + 1):
             right = edits - i
-            out += [(gap, i, shift) for shift in range(max(-i, gap - right), min(i, gap + right) + 1)]
+            out += [(edits, gap, i, shift) for shift in range(max(-i, gap - right), min(i, gap + right) + 1)]
     return out
 
 
-def _keyed(own: DataFrame, edits: int, shortest: int) -> DataFrame:
+def _keyed(own: DataFrame, edits: int) -> DataFrame:
     """(id, key, indexed, gap) of lines (id, line, size): a line's own segments and the substrings it probes for the lines of
-    its own length and of up to ``edits`` fewer characters. Segments differ by one character at most, the longer ones last.
+    its own length and of up to ``edits`` fewer characters. A length has one segment more than it may have edits; segments
+    differ by one character at most, the longer ones last.
 
     The places come first, a row each, so that what computes a key is short enough for the JVM to compile.
     """
-    parts = edits + 1
-    places = F.array(*(F.struct(F.lit(g).alias("gap"), F.lit(i).alias("segment"), F.lit(s).alias("shift")) for g, i, s in _probes(edits)))
-    rows = own.select("id", "line", "size", F.inline(places))
-    rows = rows.withColumn("length", F.expr("size - gap")).where(F.col("length") >= shortest)
-    longer = f"greatest(0, length % {parts} - ({parts} - segment))"
-    rows = rows.withColumn("place", F.expr(f"(length div {parts}) * segment + {longer} + 1 + shift")).withColumn("width", F.expr(f"(length div {parts}) + if(length % {parts} >= {parts} - segment, 1, 0)"))
+    place = lambda p: F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("edits", "gap", "segment", "shift"), strict=True)))
+    most, all_ = (F.array(*map(place, ps)) for ps in (_probes(edits), [p for n in range(1, edits + 1) for p in _probes(n)]))
+    rows = own.where(F.col("size") >= EACH).select("id", "line", "size", F.inline(F.when(F.col("size") - edits >= edits * EACH, most).otherwise(all_)))
+    rows = rows.withColumn("length", F.expr("size - gap")).where(F.expr(f"edits = least({edits}, length div {EACH})")).withColumn("parts", F.expr("edits + 1"))
+    rows = rows.withColumn("place", F.expr("(length div parts) * segment + greatest(0, length % parts - (parts - segment)) + 1 + shift"))
+    rows = rows.withColumn("width", F.expr("(length div parts) + if(length % parts >= parts - segment, 1, 0)"))
     rows = rows.where("place >= 1 and place + width <= size + 1")
     return rows.select("id", F.expr("xxhash64(length, segment, substring(line, int(place), int(width)))").alias("key"), F.expr("gap = 0 and shift = 0").alias("indexed"), "gap")
 
@@ -157,70 +163,80 @@ def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("decimal(20,0)"), _exact(NULL_DOC))
 
 
+def _ids() -> list[Column]:
+    """128 bits of a line: at 10**12 different lines the chance that any two share them is below 10**-14."""
+    return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(2), "line").alias("id2")]
+
+
 def _lines_at(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(id, line) of lines (id, first) from where they first stand. Only the places move to the texts' shuffle."""
-    at = firsts.select(F.floor(F.col("first") / F.lit(PLACES).cast("decimal(11,0)")).cast("decimal(20,0)").alias("_doc"), F.struct(F.pmod("first", F.lit(PLACES).cast("decimal(11,0)")).cast("int").alias("pos"), "id").alias("at"))
+    """(id, id2, line) of lines (id, id2, first) from where they first stand. Only the places move to the texts' shuffle."""
+    at = firsts.select(F.floor(F.col("first") / F.lit(PLACES).cast("decimal(11,0)")).cast("decimal(20,0)").alias("_doc"), F.struct(F.pmod("first", F.lit(PLACES).cast("decimal(11,0)")).cast("int").alias("pos"), "id", "id2").alias("at"))
     texts = docs.select(_doc().alias("_doc"), "text").join(at.groupBy("_doc").agg(F.collect_list("at").alias("at")), "_doc")
     parts = F.split("text", "\n", -1)
-    found = F.transform(F.array(parts), lambda p: F.transform("at", lambda x: F.struct(x["id"].alias("id"), F.get(p, x["pos"]).alias("line"))))
-    return texts.select(F.explode(F.get(found, F.lit(0))).alias("l")).select("l.id", "l.line").where("id = xxhash64(line)")
+    found = F.transform(F.array(parts), lambda p: F.transform("at", lambda x: F.struct(x["id"].alias("id"), x["id2"].alias("id2"), F.get(p, x["pos"]).alias("line"))))
+    return texts.select(F.explode(F.get(found, F.lit(0))).alias("l")).select("l.*").where("id = xxhash64(line) and id2 = xxhash64(2, line)")
 
 
-def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b, distance): the pairs of different lines of at least ``shortest`` characters and at most ``edits`` edits
-    apart, each named by the 64-bit hash of its text; ``firsts`` has (id, first) of each different line.
+def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, a2, b, b2, distance): the pairs of different lines no more edits apart than the shorter one's ``reach``, each named by
+    128 bits of its text; ``firsts`` has (id, id2, first) of each different line.
 
-    Lines are cut into edits + 1 segments, of which one must stand unharmed in any line within reach; an index of the segments,
-    by length and place, is met by the substrings of the longer line (PassJoin; Li et al., 2011). A segment that many
+    Lines are cut into a segment more than their edits, of which one must stand unharmed in any line within reach; an index of the
+    segments, by length and place, is met by the substrings of the longer line (PassJoin; Li et al., 2011). A segment that many
     lines share would propose all their pairs; so lines meet only where a part of their character counts agrees too, of which
     lines within reach must share one, and where the counts differ by no more than the edits can. What is left is verified.
     """
-    own = lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size")).where(F.col("size") >= shortest)
-    keyed = _keyed(own, edits, shortest)
+    own = lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
+    keyed = _keyed(own, edits)
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed")).where("low <> high and indexed")
     shared = table(shared.select("key"), "segments")
     held = table(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "held")
     texts = table(_lines_at(docs, firsts.join(held.select("id").distinct(), "id", "left_semi")).distinct().withColumn("counts", _counts(F.col("line"))), "lines")
     parts = F.transform(F.sequence(F.lit(0), F.lit(2 * edits)), _part(edits))
-    told = table(texts.select("id", "counts", F.posexplode(parts).alias("part", "same")), "told")
+    told = table(texts.select("id", "id2", "counts", F.posexplode(parts).alias("part", "same")), "told")
     fine = held.join(told, "id")
-    index = fine.where("indexed").select("key", "part", "same", F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probes = fine.select("key", "part", "same", F.col("id").alias("b"), F.col("counts").alias("cb"), "gap")
-    met = index.join(probes, ["key", "part", "same"]).where((F.col("a") != F.col("b")) & ((F.col("gap") > 0) | (F.col("a") < F.col("b"))) & (_count_gap(F.col("ca"), F.col("cb")) <= 2 * edits))
-    pairs = table(met.select("a", "b").distinct(), "pairs")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
+    index = fine.where("indexed").select("key", "part", "same", F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("counts").alias("ca"))
+    probes = fine.select("key", "part", "same", F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("counts").alias("cb"), "gap")
+    ordered = (F.col("gap") > 0) | (F.struct("a", "a2") < F.struct("b", "b2"))
+    other = (F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2"))
+    met = index.join(probes, ["key", "part", "same"]).where(other & ordered & (_count_gap(F.col("ca"), F.col("cb")) <= 2 * edits))
+    pairs = table(met.select("a", "a2", "b", "b2").distinct(), "pairs")
+    side = lambda n, line: texts.select(F.col("id").alias(n), F.col("id2").alias(f"{n}2"), F.col("line").alias(line))
+    both = pairs.join(side("a", "one"), ["a", "a2"]).join(side("b", "two"), ["b", "b2"])
     # written before it is filtered: a filter pushed into the projection would run each verification twice
-    measured = table(both.select("a", "b", distance(F.col("one"), F.col("two"), edits).alias("distance")), "measured")
-    return measured.where(F.col("distance") <= edits).distinct()
+    most = reach(F.least(F.length("one"), F.length("two")), edits)
+    measured = table(both.select("a", "a2", "b", "b2", distance(F.col("one"), F.col("two"), edits).alias("distance"), most.alias("most")), "measured")
+    return measured.where("distance <= most").drop("most").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, pos, id, removed, links) of each non-empty line: ``removed`` if an equal line or a linked one comes
+def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc_id, pos, removed, links) of each non-empty line: ``removed`` if an equal line or a linked one comes
     earlier, by (doc_id, pos); ``links`` counts the different lines it links to. Null doc_ids come first; rows with the same
     doc_id and place come together."""
-    all_ = table(lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("id")), "all")
-    all_ = all_.withColumn("order", (_doc() * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)"))
-    firsts = table(all_.groupBy("id").agg(F.min("order").alias("first")), "firsts")
-    found = table(links(docs, firsts, edits, shortest), "links")
-    both = found.select("a", "b").union(found.select("b", "a"))
-    both = both.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    known = table(firsts.join(both.withColumnRenamed("a", "id"), "id", "left"), "known")
-    earlier = (F.col("order") > F.col("first")) | F.coalesce(F.col("near") < F.col("first"), F.lit(False))
-    return all_.join(known, "id").select("doc_id", "pos", "id", earlier.alias("removed"), F.coalesce("links", long(0)).alias("links"))
-
-
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    all_ = table(lines(docs).select("doc_id", "pos", *_ids()), "all")
+    order = (_doc() * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+    firsts = table(all_.groupBy("id", "id2").agg(F.min(order).alias("first")), "firsts")
+    found = table(links(docs, firsts, edits), "links")
+    both = found.select("a", "a2", "b", "b2").union(found.select("b", "b2", "a", "a2"))
+    both = both.join(firsts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), "first"), ["b", "b2"]).groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
+    known = table(firsts.join(both, ["id", "id2"], "left"), "known")
+    joined = all_.join(known, ["id", "id2"])
+    earlier = (order > F.col("first")) | F.coalesce(F.col("near") < F.col("first"), F.lit(False))
+    return joined.select("doc_id", "pos", earlier.alias("removed"), F.coalesce("links", long(0)).alias("links"))
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Each row of ``docs`` with its other columns and: text without its removed lines, ``removed`` (their places from 0),
     ``n_lines`` and ``n_links``.
 
-    A line goes if an equal line, or one at most ``edits`` edits away (both of at least ``shortest`` characters), comes
-    earlier by (doc_id, place). Empty lines stay and never link; a text all of whose other lines go becomes what is left, null and empty
+    A line goes if an equal line, or one within reach (an edit for each EACH characters of the shorter line, at most ``edits``), comes
+    earlier by (doc_id, place). So lines under EACH characters go only as equals: at one edit they would be other words. Empty lines stay and never link; a text all of whose other lines go becomes what is left, null and empty
     texts stay as they are. Rows that share a doc_id lose the places that go in any of them, but the least such row's first
     occurrence counts for all. Columns named removed, n_lines or n_links in the input are replaced. Lines are told apart by
-    64-bit hashes of their text.
+    128 bits of their text.
     """
     own = docs.drop("removed", "n_lines", "n_links")
-    found = repeated_lines(own, edits, shortest).groupBy(F.col("doc_id").alias("_doc")).agg(
+    found = repeated_lines(own, edits).groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("pos")))).alias("removed"), F.sum("links").alias("n_links")
     )
     joined = own.join(table(found, "removed"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
