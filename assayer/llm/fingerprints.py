@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.native import let, long, words
+from assayer.llm.shared import table
 
 #: Words in a shingle; bins (a power of two) and bits kept of each.
 SHINGLE, BINS, BITS = 5, 256, 8
 #: Probes of an empty bin before the ranked choice among all non-empty ones, each an affine map (odd factor) over the bins.
 PROBES = ((173, 91), (59, 214), (227, 37), (101, 150), (13, 69), (199, 248), (85, 5), (147, 122))
-#: Ranges of doc_id into which rows are dealt to find each one's successor, and rows wanted in each.
-RANGES, RANGE_ROWS = 4096, 500
+#: Rows wanted in a range of doc_id, in which each row's successor is found; ranges cut at once, and cuts of each again in larger tables.
+RANGE_ROWS, RANGES, FINER = 500, 4096, 256
 LOW = (1 << 56) - 1
 
 
@@ -68,36 +69,71 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(unbiased)
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """At most RANGES values of doc_id that cut the rows into even ranges, the least one first."""
-    n, low = docs.agg(F.count("*"), F.min("key")).first()
+def _cuts(parts: int) -> Column:
+    """Values of ``key`` that cut the rows into even parts."""
+    return F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * max(parts, 1000))
+
+
+def _place(bounds: Column, most: int) -> Column:
+    """The last of the ascending ``bounds``, at most ``most`` of them, that ``key`` is not below, from 0."""
+    steps = [1 << i for i in range(most.bit_length(), -1, -1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: at + F.when(F.get(bounds, at + s - 1) <= F.col("key"), s).otherwise(0)) - 1
+
+
+def _dealt(keyed: DataFrame, rows: int, ranges: int) -> DataFrame | None:
+    """The rows with ``range``, ``finer`` and ``end``: their range of key, and once more with end = 1 under the range before if they
+    are the first of theirs. None for no rows.
+
+    Up to ``ranges`` values cut the table, in large tables FINER values cut each range again, so ranges stay
+    small: 10**10 rows make some 10**6 ranges of 10**4. The finer cuts, 2 KB a range, are joined to the rows."""
+    n, low = keyed.agg(F.count("*"), F.min("key")).first()
     if not n:
-        return []
-    parts = min(RANGES, -(-n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * RANGES)).first()[0] if parts > 1 else []
-    return [low, *sorted({int(x) for x in cuts} - {low})]
+        return None
+    parts = min(ranges, -(-n // rows))
+    first = [low]
+    if parts > 1:
+        near = F.lit(sorted({low, *map(int, keyed.agg(_cuts(parts)).first()[0])})).cast("array<bigint>")
+        # percentiles are rounded to doubles: the least key of each part is an exact cut
+        first = sorted(r["low"] for r in keyed.groupBy(_place(near, parts).alias("range")).agg(F.min("key").alias("low")).collect())
+    bounds = F.lit(first).cast("array<bigint>")
+    out = keyed.withColumn("range", _place(bounds, len(first)))
+    finer = min(FINER, -(-n // (len(first) * rows)))
+    if finer > 1:
+        start = F.array(F.get(bounds, F.col("range")))
+        cuts = out.select("range", "key").groupBy("range").agg(_cuts(finer).alias("cuts")).select("range", F.array_sort(F.array_distinct(F.concat(start, "cuts"))).alias("cuts"))
+        rough = out.select("range", "key").join(F.broadcast(table(cuts, "rough")), "range")
+        exact = rough.groupBy("range", _place(F.col("cuts"), finer + 1).alias("finer")).agg(F.min("key").alias("low"))
+        cuts = table(exact.groupBy("range").agg(F.array_sort(F.collect_list("low")).alias("cuts")), "cuts")
+        lasts = {r["range"]: r["n"] - 1 for r in cuts.select("range", F.size("cuts").alias("n")).collect()}
+        out = out.join(F.broadcast(cuts), "range").withColumn("finer", _place(F.col("cuts"), finer + 1))
+        starts = F.get("cuts", F.col("finer")) == F.col("key")
+        last = F.get(F.lit([lasts.get(i, 0) for i in range(len(first))]), F.pmod(F.col("range") - 1, F.lit(len(first))))
+    else:
+        out, last = out.withColumn("finer", F.lit(0)), F.lit(0)
+        starts = F.get(bounds, F.col("range")) == F.col("key")
+    before = F.when(F.col("finer") > 0, F.struct("range", (F.col("finer") - 1).alias("finer"), F.lit(1).alias("end"))).otherwise(
+        F.struct(F.pmod(F.col("range") - 1, F.lit(len(first))).alias("range"), last.alias("finer"), F.lit(1).alias("end"))
+    )
+    own = F.struct("range", "finer", F.lit(0).alias("end"))
+    kept = [c for c in keyed.columns]
+    return out.select(*kept, F.explode(F.when(starts, F.array(own, before)).otherwise(F.array(own))).alias("at")).select(*kept, "at.*")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = RANGE_ROWS, ranges: int = RANGES) -> DataFrame:
     """Each row of (doc_id, text, ...) with ``next_`` + name: the other columns of the next row by (doc_id, text); after the last, the first.
 
     Rows are dealt by ranges of doc_id; the first row of each range is also dealt to the range before it as its
-    end, so that texts move once and no range needs another. A null doc_id sorts before all others.
+    end, so that texts move once and no range needs another. A row with a null doc_id has no place in the order and
+    is its own successor.
     """
     kept = [c for c in docs.columns if c != "doc_id"]
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), long(-(2**63))))
-    cuts = _ranges(keyed.select("key"))
-    if not cuts:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in kept))
-    bounds = F.lit(cuts).cast("array<bigint>")
-    steps = [1 << i for i in range(len(cuts).bit_length(), -1, -1)]
-    below = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: at + F.when(F.get(bounds, at + s - 1) <= F.col("key"), s).otherwise(0))
-    dealt = keyed.withColumn("range", below - 1).select(
-        "*", F.explode(F.when(F.get(bounds, F.col("range")) == F.col("key"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("end")
-    )
-    dealt = dealt.withColumn("range", F.pmod(F.col("range") - F.col("end"), F.lit(len(cuts))))
-    order = Window.partitionBy("range").orderBy("end", "key", "text")
-    return dealt.select("doc_id", *kept, "end", *(F.lead(c).over(order).alias(f"next_{c}") for c in kept)).where("end = 0").drop("end")
+    alone = docs.select("doc_id", *kept, *(F.col(c).alias(f"next_{c}") for c in kept))
+    dealt = _dealt(docs.where("doc_id is not null").withColumn("key", F.col("doc_id").cast("long")), rows, ranges)
+    if dealt is None:
+        return alone
+    order = Window.partitionBy("range", "finer").orderBy("end", "key", "text")
+    found = dealt.select("doc_id", *kept, "end", *(F.lead(c).over(order).alias(f"next_{c}") for c in kept)).where("end = 0").drop("end")
+    return found.unionByName(alone.where("doc_id is null"))
 
 
 def edit_likeness(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -105,7 +141,7 @@ def edit_likeness(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next
     document's. Null texts count as empty. Rows sharing a doc_id follow one another by text; an only
-    row is its own successor. Extra columns are ignored; an empty table gives an empty result.
+    row, and one without a doc_id, is its own successor. Extra columns are ignored; an empty table gives an empty result.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("print", fingerprint(F.col("text"), size))

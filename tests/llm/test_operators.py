@@ -223,6 +223,53 @@ def test_fingerprints(spark):
     assert near == pytest.approx(496 / 1496, abs=0.1)
 
 
+def test_successors_in_any_number_of_ranges(spark):
+    from assayer.llm.fingerprints import with_next
+
+    ids = sorted([RND.randrange(-(2**62), 2**62) for _ in range(150)] + list(range(150)) + [7, 7, 9])
+    rows = [(i, f"t{n:04d}") for n, i in enumerate(ids)]
+    want = {t: rows[(n + 1) % len(rows)][1] for n, (_, t) in enumerate(rows)} | {"lone": "lone", "alone": "alone"}
+    docs = spark.createDataFrame([*rows, (None, "lone"), (None, "alone")], "doc_id long, text string")
+    for per, ranges in ((500, 4096), (10, 4096), (2, 5), (1, 2), (3, 1)):
+        assert {r["text"]: r["next_text"] for r in with_next(docs, per, ranges).collect()} == want
+    assert with_next(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Bins, densification and packing in plain Python over the same shingle hashes."""
+    from assayer.llm.fingerprints import BINS, PROBES, fingerprint, likeness, shingle_hashes
+
+    texts = [prose(n) for n in (0, 1, 4, 5, 6, 30, 300, 3000)] + [None, "same " * 50, "é " * 7]
+    ranks = spark.range(256).select("id", *(F.xxhash64(F.lit(b), F.col("id").cast("int")).alias(f"b{b}") for b in (0, 5, 255))).collect()
+    rank = {(b, r["id"]): r[f"b{b}"] for r in ranks for b in (0, 5, 255)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(shingle_hashes(F.col("text")).alias("h"), fingerprint(F.col("text")).alias("p")).collect()
+    for r in rows:
+        least = {}
+        for h in r["h"]:
+            if h & (1 << 56) - 1 != (1 << 56) - 1:
+                b = (h >> 56) + BINS // 2
+                least[b] = min(least.get(b, h), h)
+        if not r["h"]:
+            assert r["p"] == b""
+            continue
+        assert len(r["p"]) == BINS
+        for b in range(BINS):
+            tried = [b, *((b * a + k) % BINS for a, k in PROBES)]
+            found = next((x for x in tried if x in least), None)
+            if found is None and b not in (0, 5, 255):
+                continue
+            if found is None:
+                found = min(least, key=lambda j: (rank[(b, j)] & ~255) | j)
+            assert r["p"][b] == least[found] & 255
+    some = [(rows[i]["p"], rows[j]["p"]) for i in range(len(rows)) for j in range(len(rows))]
+    got = spark.createDataFrame([(bytes(a), bytes(b)) for a, b in some], "a binary, b binary").select("a", "b", likeness(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in got:
+        share = sum(x == y for x, y in zip(r["a"], r["b"], strict=False)) / BINS
+        want = 1.0 if r["a"] == r["b"] else 0.0 if not r["a"] or not r["b"] else max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+        assert r["n"] == pytest.approx(want)
+
+
 def test_personal_data(spark):
     from assayer.llm.personal_data import personal_data, rendered
 
