@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.labelled import remainder, sample
+from assayer.llm.shared import table
 from assayer.llm.words import text_chunks
 
 #: Labelled documents used for fitting; documents and lower bound on the toxic share a feature needs.
@@ -85,46 +86,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _bound(k, n):
+    """Wilson's lower bound, at 95 %, of a share of k in n; of numbers or columns."""
+    p, z = k / n, 1.96
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
 def _selected(rows: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Features of at least SUPPORT toxic documents whose share of toxic ones is, at 95 %, above PRECISION (Wilson's bound)."""
+    """Features of at least SUPPORT toxic documents whose share of toxic ones is, at 95 %, above PRECISION."""
     toxic, all_ = Counter(), Counter()
     for row, y in zip(rows, labels, strict=True):
         all_.update(row)
         if y:
             toxic.update(row)
-    out = []
-    for f, k in toxic.items():
-        n = all_[f]
-        p, z = k / n, 1.96
-        low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-        if k >= SUPPORT and low > PRECISION:
-            out.append(f)
-    return sorted(out)
+    return [f for f, k in toxic.items() if k >= SUPPORT and _bound(k, all_[f]) > PRECISION]
+
+
+def _indexed(selected: list[str]) -> dict[str, int]:
+    """Identity terms are features whether selected or not, so that what a corpus ties to them is seen and held even."""
+    return {f: i for i, f in enumerate(sorted({*selected, *(f"={t}" for t in TERMS)}))}
+
+
+def _of(words: Iterable[str], index: dict[str, int]) -> list[int]:
+    """The features of words that the index has, in its order: sums of floats come out alike whatever order sets have."""
+    return sorted({index[f] for w in words for f in features(w) if f in index})
 
 
 def fit(rows: list[tuple[list[str], list[str], int]], penalty: float = PENALTY) -> Model:
-    """Logistic regression over the presence of selected features in (words, identity sentences, label) of texts, by gradient steps on log
-    loss, a ridge, and the mean squared change of the logit (counterfactual logit pairing; Garg et al., 2019) between each
-    labelled sentence that names an identity and the same with the term swapped for each other of its list.
+    """``train`` on (words, identity sentences, label) of texts that are few enough to hold."""
+    y = np.array([label for *_, label in rows], float)
+    index = _indexed(_selected([{f for w in words for f in features(w)} for words, _, _ in rows], y))
+    return train(index, [_of(words, index) for words, _, _ in rows], y, sorted({s for _, own, _ in rows for s in own}), penalty)
+
+
+def train(index: dict[str, int], known: list[list[int]], y: np.ndarray, sentences: list[str], penalty: float = PENALTY) -> Model:
+    """Logistic regression over the features present in texts, by gradient steps on log loss, a ridge, and the mean squared
+    change of the logit (counterfactual logit pairing; Garg et al., 2019) between each labelled sentence that names an
+    identity and the same with the term swapped for each other of its list.
 
-    Identity terms are features whether selected or not, so that what a corpus ties to them is seen and held even.
     Without rows of both classes every text scores alike."""
-    y = np.array([label for *_, label in rows], float)
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Model({}, np.zeros(0), float(np.log(share / (1 - share))))
-    known = [{f for w in words for f in features(w)} for words, _, _ in rows]
-    sentences = sorted({s for _, own, _ in rows for s in own})
-    pairs = [(s.split(), other) for s in sentences for other in swaps(s.split())]
-    index = {f: i for i, f in enumerate(sorted({*_selected(known, y), *(f"={t}" for t in TERMS)}))}
-
-    def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        # in the order of the index: sums of floats come out alike whatever order sets have
-        at = [(i, j) for i, s in enumerate(sets) for j in sorted(index[f] for f in s if f in index)]
-        return (np.array([a for a, _ in at], int), np.array([b for _, b in at], int))
-
-    of = lambda s: {f for w in s for f in features(w)}
-    (r, c), (ra, ca), (rb, cb) = matrix(known), matrix([of(a) for a, _ in pairs]), matrix([of(b) for _, b in pairs])
+    pairs = [(_of(s.split(), index), _of(other, index)) for s in sentences for other in swaps(s.split())]
+
+    def matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(int), np.array([j for x in lists for j in x], int)
+
+    (r, c), (ra, ca), (rb, cb) = matrix(known), matrix([a for a, _ in pairs]), matrix([b for _, b in pairs])
     n, k = len(y), len(index)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     m, v, rate = np.zeros(k + 1), np.zeros(k + 1), 0.1
@@ -143,18 +152,32 @@ def fit(rows: list[tuple[list[str], list[str], int]], penalty: float = PENALTY)
     return Model(index, w, float(b))
 
 
-def digests(sampled: DataFrame) -> list[tuple[list[str], list[str], int]]:
-    """What ``fit`` needs of (doc_id, text, label): made where the texts are, so whole texts never reach the driver."""
+def fit_sampled(sampled: DataFrame, penalty: float = PENALTY) -> Model:
+    """``train`` on (doc_id, text, label), whose words stay with the executors: features are counted and selected there, and what reaches
+    the driver is the selected ones, the places of those that each text has, and the distinct sentences that name an identity."""
+    kind = sampled.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, labels in text_chunks(batches, 1):
             words, named = zip(*(digest(t.decode("utf-8", "replace")) for t in texts), strict=True)
             lists = [pa.array(x, pa.list_(pa.string())) for x in (words, named)]
             yield pa.RecordBatch.from_arrays([ids, labels, *lists], names=["doc_id", "label", "words", "named"])
 
-    kind = sampled.schema["doc_id"].dataType.simpleString()
-    found = sampled.mapInArrow(run, f"doc_id {kind}, label int, words array<string>, named array<string>")
-    return [(r["words"], r["named"], r["label"]) for r in found.orderBy("doc_id", "label").collect()]
+    digests = table(sampled.mapInArrow(read, f"doc_id {kind}, label int, words array<string>, named array<string>"), "digests")
+    starts = lambda w: F.transform(F.filter(F.lit([3, 4, 5, 6]), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))
+    found = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(F.array(F.concat(F.lit("="), w)), starts(w)))))
+    counted = digests.select("label", F.explode(found).alias("feature")).groupBy("feature").agg(F.sum("label").alias("k"), F.count("*").alias("n"))
+    chosen = counted.where((F.col("k") >= SUPPORT) & (_bound(F.col("k"), F.col("n")) > PRECISION)).select("feature")
+    index = _indexed([r["feature"] for r in chosen.collect()])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [_of(words, index) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "label", "at"])
+
+    placed = digests.select("doc_id", "label", "words").mapInArrow(place, f"doc_id {kind}, label int, at array<int>").orderBy("doc_id", "label").toArrow()
+    sentences = sorted(r["s"] for r in digests.select(F.explode("named").alias("s")).distinct().collect())
+    return train(index, placed["at"].to_pylist(), placed["label"].to_numpy().astype(float), sentences, penalty)
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = ROWS) -> DataFrame:
@@ -164,7 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
     held-out remainder; only the text goes into the score. A null doc_id is not held out. Repeated
     rows each come back; extra columns are ignored.
     """
-    model = fit(digests(sample(docs, labels, "toxic", modulus, held_out, rows)))
+    model = fit_sampled(sample(docs, labels, "toxic", modulus, held_out, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple] = {}

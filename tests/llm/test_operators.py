@@ -642,6 +642,16 @@ def test_penalty_spares_neutral_mentions():
     assert (fit(rows).scores([f"those {w}".encode() for w in insults], {}) >= ACCEPT).all()
 
 
+def test_features_selected_by_executors_are_the_same(spark):
+    from assayer.llm.toxicity import digest, fit, fit_sampled
+
+    rnd = random.Random(5)
+    texts = [(i, f"{prose(20)} {rnd.choice(['scum', 'vermin', 'Élancé']) if i % 3 == 0 else ''} {rnd.choice(['gay', 'white', ''])} men", int(i % 3 == 0)) for i in range(150)]
+    here = fit([(*digest(t), y) for _, t, y in texts])
+    there = fit_sampled(spark.createDataFrame(texts, "doc_id long, text string, label int"))
+    assert here.index == there.index and abs(here.weight - there.weight).max() < 1e-12 and "=scum" in here.index
+
+
 def test_toxicity_scores_by_brute_force():
     import math
 
