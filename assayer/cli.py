@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -11,9 +10,10 @@ from pathlib import Path
 import yaml
 
 from assayer.errors import Refusal
-from assayer.operators import construct, freeze, rules
-from assayer.operators.channels import Channel, Registry
+from assayer.operators import construct, freeze, project, rules
 from assayer.operators.claims import Register
+from assayer.operators.provenance import file_digest, read_artifact
+from assayer.operators.resolution import THRESHOLD
 
 
 def _spark():
@@ -22,48 +22,81 @@ def _spark():
     return SparkSession.builder.appName("assayer").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _registry(path: str) -> Registry:
-    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    own = ("kind", "columns", "tasks")
-    return Registry([Channel(n, c["kind"], c.get("columns") or [], {k: v for k, v in c.items() if k not in own}, c.get("tasks")) for n, c in raw["channels"].items()], raw.get("ignore") or {})
+def _channels(a) -> None:
+    found = project.check_channels(_spark(), a.registry, a.fixture, a.fixtures_dir, a.out)
+    print(f"every column of {len(found)} tasks is registered; see {a.out}")
 
 
-def _channels(a) -> None:
-    registry = _registry(a.registry)
-    if found := registry.problems():
-        raise Refusal(found)
-    from assayer.sources.tables import read_source
+def _rules(a) -> int:
+    """The null-input test of the rules named, of those a questions file uses, or of all."""
+    names = a.rule or (sorted({q["rule"] for q in project.load_questions(a.questions)["questions"]}) if a.questions else sorted(rules.RULES))
+    found = rules.null_suite(_spark(), names, a.draws).orderBy("rule").collect()
+    for r in found:
+        print(f"{'passed' if r['passed'] else 'FAILED'}: {r['rule']}, {r['effects']} of {r['draws']} draws claim an effect, {r['exact_claims']} of one method against itself")
+    return 0 if all(r["passed"] for r in found) else 1
+
+
+def _run(a) -> None:
+    project.run(_spark(), a.grid, a.rerun_stale).show(100, truncate=False)
 
-    registry.check(read_source(_spark(), a.table).columns, a.label, a.structural)
-    print("every column is registered")
+
+def _coverage(a) -> None:
+    project.status(_spark(), a.grid).show(100, truncate=False)
 
 
-def _rules(a) -> None:
-    found = rules.gate(_spark(), a.names or sorted(rules.RULES), a.draws)
-    print("\n".join(f"{n}: {r['effects']} of {r['draws']} draws claim an effect" for n, r in found.items()))
+def _resolve(a) -> None:
+    found = project.resolve(_spark(), a.grid, a.out, a.draws, a.threshold, a.methods)
+    for c, r in sorted(found["cells"].items()):
+        print(f"{c}: floor {r['floor']:.4f} by {r['source']}{', underpowered' if r['underpowered'] else ''}")
 
 
 def _verdict(a) -> None:
-    """Verdicts on paired predictions (parquet with cell, cluster, label, score_a, score_b), after the rule's gate."""
-    spark = _spark()
-    rules.gate(spark, ["difference_clears_floor"])
-    rows, floor = spark.read.parquet(a.pairs), spark.read.parquet(a.resolution)
-    for r in rules.difference_clears_floor(rows, floor, a.metric, draws=a.draws).orderBy("cell").collect():
-        print(json.dumps(r.asDict()))
+    for v in project.decide(_spark(), a.questions, a.out)["verdicts"]:
+        print(f"{v['id']}: {v['outcome']}{' (by oracle selection)' if v['oracle'] else ''}, {v['summary']}")
+        for s in v["selections"]:
+            print(f"    {s['cell']}: {s['chosen']} of {', '.join(s['candidates'])} by {s['on']} scores")
 
 
-def _resolve(a) -> None:
-    from assayer.operators.resolution import resolve
+def _snapshot(questions: str, name: str) -> dict:
+    found = [q for q in project.load_questions(questions)["questions"] if q["id"] == name]
+    if not found:
+        raise Refusal(f"{questions} has no question {name!r}")
+    return project.snapshot(found[0])
 
-    spark = _spark()
-    resolve(spark.read.parquet(a.scores), spark.read.parquet(a.predictions).where("split = 'test'"), a.metric, a.draws).write.mode("overwrite").parquet(a.out)
 
+def _register(a) -> None:
+    version = construct.load(a.construct)["version"]
+    print(Register(a.log).register(a.claim, a.question, a.prediction, _snapshot(a.questions, a.question), version, a.statement, a.exploratory)["hash"])
+
+
+def _amend(a) -> None:
+    own = Register(a.log)
+    known = own.known(a.claim)
+    question = a.question or known["question"]
+    version = construct.load(a.construct)["version"]
+    print(own.amend(a.claim, a.prediction or known["prediction"], _snapshot(a.questions, question), version, a.reason, a.statement, question)["hash"])
+
+
+def _claims(a) -> None:
+    found = read_artifact(a.verdicts)
+    grid = Path(a.verdicts).parent / yaml.safe_load((Path(a.verdicts).parent / found["_provenance"]["inputs"]["questions"]["path"]).read_text(encoding="utf-8"))["grid"]
+    first = project.first_run(project.prepare(_spark(), grid))
+    if first is None:
+        raise Refusal(f"the history of {grid} has no run")
+    for e in Register(a.log).resolve({v["id"]: v for v in found["verdicts"]}, file_digest(a.verdicts), first, str(a.verdicts)):
+        print(f"{e['claim']}: {e['status']}")
+
+
+def _table(a) -> None:
+    for name, c in sorted(Register(a.log).state().items()):
+        kind = "exploratory" if c.get("exploratory") else "registered"
+        late = " (amended after results)" if (c.get("resolution") or {}).get("amended_after_results") else " (amended)" if c["amendments"] else ""
+        print(f"{name:10} {c['status']:12} {kind:12} {c.get('statement') or ''}{late}")
 
-def _coverage(a) -> None:
-    from assayer.operators import grid
 
-    spark = _spark()
-    grid.coverage(grid.run_status(spark.read.parquet(a.plan), spark.read.parquet(a.records))).show(truncate=False)
+def _document(a) -> None:
+    for name, state in Register(a.log).check_document(Path(a.path).read_text(encoding="utf-8"), a.require_all).items():
+        print(f"{name}: {state}")
 
 
 def _show(a) -> None:
@@ -82,35 +115,38 @@ def parser() -> argparse.ArgumentParser:
 
     arg = lambda *flags, **options: (flags, options)
     unit = lambda name: kinds.add_parser(name).add_subparsers(required=True)
-    command(unit("construct"), "check", lambda a: print("version", construct.load(a.path)["version"]), arg("path"))
+    command(unit("construct"), "check", lambda a: print("version", construct.load(a.path)["version"]), arg("path", nargs="?", default="construct.yaml"))
     frozen = unit("fixtures")
-    command(frozen, "freeze", lambda a: print(freeze.freeze(_spark(), a.spec, a.out)), arg("spec"), arg("--out", default="fixtures"))
+    command(frozen, "freeze", lambda a: print(freeze.freeze(_spark(), a.spec, a.out)), arg("spec", nargs="?", default="fixtures.yaml"), arg("--out", default="fixtures"))
     command(frozen, "show", _show, arg("folder"))
-    command(unit("channels"), "check", _channels, arg("registry"), arg("table"), arg("--label", nargs="*", default=[]), arg("--structural", nargs="*", default=[]))
-    command(kinds, "coverage", _coverage, arg("plan"), arg("records"))
-    command(kinds, "resolve", _resolve, arg("scores"), arg("predictions"), arg("out"), arg("--metric", default="roc_auc"), arg("--draws", type=int, default=1000))
-    command(unit("rules"), "test", _rules, arg("names", nargs="*"), arg("--draws", type=int, default=rules.DRAWS))
-    command(kinds, "verdict", _verdict, arg("pairs"), arg("resolution"), arg("--metric", default="roc_auc"), arg("--draws", type=int, default=1000))
+    fixture = [arg("--fixture", default="fixtures.yaml"), arg("--fixtures-dir", default="fixtures")]
+    command(unit("channels"), "check", _channels, arg("registry", nargs="?", default="channels.yaml"), *fixture, arg("--out", default="channel_manifest.json"))
+    grid = arg("grid", nargs="?", default="grid.yaml")
+    command(kinds, "run", _run, grid, arg("--rerun-stale", action="store_true"))
+    command(kinds, "coverage", _coverage, grid)
+    command(kinds, "resolve", _resolve, grid, arg("--out"), arg("--methods", nargs="+"), arg("--draws", "--n-boot", type=int, default=1000), arg("--threshold", type=float, default=THRESHOLD))
+    command(unit("rules"), "test", _rules, arg("questions", nargs="?"), arg("--rule", nargs="+"), arg("--draws", type=int, default=rules.DRAWS))
+    command(kinds, "verdict", _verdict, arg("questions", nargs="?", default="questions.yaml"), arg("--out"))
     claim = unit("claims")
     log = arg("--log", default="claims.jsonl")
-    own = [arg("claim"), arg("prediction"), arg("--snapshot", type=json.loads, default={}), arg("--version", type=int, default=1), log]
-    command(claim, "register", lambda a: print(Register(a.log).register(a.claim, a.question, a.prediction, a.snapshot, a.version)["hash"]), arg("question"), *own)
-    command(claim, "amend", lambda a: print(Register(a.log).amend(a.claim, a.prediction, a.snapshot, a.version, a.reason)["hash"]), *own, arg("--reason", required=True))
-    command(claim, "untested", lambda a: print(Register(a.log).untested(a.claim, a.reason)["hash"]), arg("claim"), log, arg("--reason", required=True))
-    command(claim, "resolve", lambda a: print(len(Register(a.log).resolve(json.loads(Path(a.verdicts).read_text()), a.sha, a.first_run))), arg("verdicts"), arg("--sha", required=True), arg("--first-run", required=True), log)
-    command(claim, "show", lambda a: print(json.dumps(Register(a.log).state(), indent=2, sort_keys=True)), log)
-    command(claim, "check-doc", lambda a: Register(a.log).check_document(Path(a.path).read_text(encoding="utf-8"), a.all), arg("path"), log, arg("--all", action="store_true"))
+    stated = [arg("--questions", default="questions.yaml"), arg("--construct", default="construct.yaml"), log]
+    need = {"required": True}
+    command(claim, "register", _register, arg("claim"), arg("--statement", **need), arg("--question", **need), arg("--prediction", **need), arg("--exploratory", action="store_true"), *stated)
+    command(claim, "amend", _amend, arg("claim"), arg("--reason", **need), arg("--prediction"), arg("--statement"), arg("--question"), *stated)
+    command(claim, "untested", lambda a: print(Register(a.log).untested(a.claim, a.reason)["hash"]), arg("claim"), log, arg("--reason", **need))
+    command(claim, "resolve", _claims, arg("--verdicts", default="verdicts.json"), log)
+    command(claim, "show", _table, log)
+    command(claim, "check-doc", _document, arg("path"), log, arg("--require-all", action="store_true"))
     return top
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        a.run(a)
+        return a.run(a) or 0
     except Refusal as e:
         print("\n".join(f"refused: {p}" for p in e.problems), file=sys.stderr)
         return 1
-    return 0
 
 
 if __name__ == "__main__":

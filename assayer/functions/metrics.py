@@ -29,12 +29,27 @@ def _keys(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by]
 
 
-def _steps(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def _steps(rows: DataFrame, by: Sequence[str], ranges: int = 1) -> DataFrame:
     """Per group and distinct score: weights p and n of both classes, and tp, fp at or above the score. Tied scores are one
-    step; rows meet in a map-side sum by score before the ordered pass over what is left."""
+    step; rows meet in a map-side sum by score before the ordered pass over what is left.
+
+    With ``ranges`` a group's scores are summed up range by range, each a task's, on top of what the ranges above it
+    hold; without, a group is one task's."""
     grouped = rows.groupBy(*_keys(by), "score").agg(F.sum(F.col("w") * F.col("label")).cast("double").alias("p"), F.sum(F.col("w") * (1 - F.col("label"))).cast("double").alias("n"))
-    above = Window.partitionBy(*_keys(by)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return grouped.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above))
+    if ranges > 1:
+        grouped = grouped.withColumn("_range", F.floor(F.col("score") * ranges))
+    inside = [*by, *(["_range"] if ranges > 1 else [])]
+    above = Window.partitionBy(*_keys(inside)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = grouped.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above))
+    if ranges == 1:
+        return steps
+    held = grouped.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_r")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    higher = Window.partitionBy(*(F.col(f"_{c}") for c in by)).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumns({"_tp": F.coalesce(F.sum("_p").over(higher), F.lit(0.0)), "_fp": F.coalesce(F.sum("_n").over(higher), F.lit(0.0))}).drop("_p", "_n")
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return steps.join(held, same).withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")})
 
 
 def _both(value: Column) -> Column:
@@ -42,19 +57,19 @@ def _both(value: Column) -> Column:
     return F.when((F.sum("p") > 0) & (F.sum("n") > 0), value)
 
 
-def ranked(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def ranked(rows: DataFrame, by: Sequence[str], ranges: int = 1) -> DataFrame:
     """(by..., pr_auc, roc_auc) in one pass; null where a group has one class."""
     hit = F.when(F.col("p") > 0, F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     pr = F.sum(hit) / F.sum("p")
     roc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("p") * F.sum("n"))
-    return _steps(rows, by).groupBy(*_keys(by)).agg(_both(pr).alias("pr_auc"), _both(roc).alias("roc_auc"))
+    return _steps(rows, by, ranges).groupBy(*_keys(by)).agg(_both(pr).alias("pr_auc"), _both(roc).alias("roc_auc"))
 
 
-def one_vs_rest(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def one_vs_rest(rows: DataFrame, by: Sequence[str], ranges: int = 1) -> DataFrame:
     """Macro means of both over the classes; null if the group lacks a class."""
     each = rows.select(*by, "w", F.col("label").alias("_y"), F.posexplode("probs").alias("class", "score"))
     each = each.withColumn("label", (F.col("_y") == F.col("class")).cast("int"))
-    per = ranked(each, [*by, "class"])
+    per = ranked(each, [*by, "class"], ranges)
     whole = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c)).alias(c)
     return per.groupBy(*_keys(by)).agg(whole("pr_auc"), whole("roc_auc"))
 
@@ -119,18 +134,19 @@ def tie_share(rows: DataFrame, by: Sequence[str], many: bool = False) -> DataFra
     return counted.groupBy(*_keys(by)).agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("value"))
 
 
-def _pick(name: str, many: bool) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+def _pick(name: str, many: bool, ranges: int) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
     def run(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-        return (one_vs_rest if many else ranked)(rows, by).select(*by, F.col(name).alias("value"))
+        return (one_vs_rest if many else ranked)(rows, by, ranges).select(*by, F.col(name).alias("value"))
 
     return run
 
 
-def metric(name: str, many: bool = False) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    """The metric as (rows with label, score or probs, w; grouping columns) -> (grouping columns, value)."""
+def metric(name: str, many: bool = False, ranges: int = 1) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """The metric as (rows with label, score or probs, w; grouping columns) -> (grouping columns, value). ``ranges`` deals the
+    ordered pass of a large group over so many tasks for each unit of the score."""
     predicted = first_largest() if many else hard_label()
     if name in ("pr_auc", "roc_auc"):
-        return _pick(name, many)
+        return _pick(name, many, ranges)
     if name in ("brier", "log_loss", "tie_share"):
         return lambda rows, by: {"brier": brier, "log_loss": log_loss, "tie_share": tie_share}[name](rows, by, many)
     if name == "f1" and many:

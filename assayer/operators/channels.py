@@ -61,7 +61,7 @@ class Registry:
             if not c.columns:
                 out.append(f"channel {c.name} has no columns")
             if c.kind == "categorical" and c.params.get("encoding") not in ENCODINGS:
-                out.append(f"channel {c.name}: encoding must be one of {', '.join(ENCODINGS)}; there is no default")
+                out.append(f"channel {c.name}: encoding must be given, as one of {', '.join(ENCODINGS)}")
             if c.kind == "numeric" and c.param("impute") not in IMPUTES:
                 out.append(f"channel {c.name}: impute must be one of {', '.join(IMPUTES)}")
             out += [f"channel {c.name}: {k} must be a whole number from 1 on" for k in ("min_frequency", "max_features", "ngram_max", "min_df") if k in KINDS[c.kind] and (not isinstance(c.param(k), int) or isinstance(c.param(k), bool) or c.param(k) < 1)]
@@ -96,7 +96,7 @@ def non_training(rows: DataFrame, split: str) -> DataFrame:
 def training_only(rows: DataFrame, split: str) -> None:
     """Refuse to fit on rows that aren't training rows."""
     bad = non_training(rows, split).collect()
-    refuse(ChannelError, ["refusing to fit on " + ", ".join(f"{r['rows']} {r['split']} rows" for r in sorted(bad, key=str))] if bad else [])
+    refuse(ChannelError, ["encoders learn from training rows alone, not from " + ", ".join(f"{r['rows']} {r['split']} rows" for r in sorted(bad, key=str))] if bad else [])
 
 
 def _number(column: str) -> Column:
@@ -247,10 +247,11 @@ def multihot_features(rows: DataFrame, words: DataFrame, channel: str, column: s
 
 
 class Featurizer:
-    """Fits a task's channels on training rows and turns any rows into (id, feature, value)."""
+    """Fits a task's channels on training rows and turns any rows into (id, feature, value). With more than two classes a
+    target-encoded column becomes a feature for each class: the share of that class in the category."""
 
-    def __init__(self, channels: Sequence[Channel], split: str) -> None:
-        self.channels, self.split, self.train = list(channels), split, None
+    def __init__(self, channels: Sequence[Channel], split: str, classes: int = 2) -> None:
+        self.channels, self.split, self.classes, self.train = list(channels), split, classes, None
 
     def fit(self, rows: DataFrame) -> Featurizer:
         training_only(rows, self.split)
@@ -259,7 +260,7 @@ class Featurizer:
 
     def transform(self, rows: DataFrame, training: bool = False) -> DataFrame:
         """``training`` gives the training rows their own, cross-fitted, target encodings."""
-        refuse(ChannelError, [] if self.train is not None else ["transform before fit"])
+        refuse(ChannelError, [] if self.train is not None else ["a featurizer must be fitted before it transforms"])
         out = None
         for c in self.channels:
             for part in self._parts(c, rows, training):
@@ -278,4 +279,12 @@ class Featurizer:
             return [multihot_features(rows, multihot_vocabulary(train, x, c.param("separator"), c.param("min_df")), c.name, x, c.param("separator")) for x in c.columns]
         if c.param("encoding") == "one_hot":
             return [one_hot_features(rows, one_hot_vocabulary(train, x, c.param("min_frequency")), c.name, x) for x in c.columns]
-        return [target_encode_train(train, c.name, x) if training else target_encode(rows, train, c.name, x) for x in c.columns]
+        if self.classes == 2:
+            return [target_encode_train(train, c.name, x) if training else target_encode(rows, train, c.name, x) for x in c.columns]
+        out = []
+        for x in c.columns:
+            for k in range(self.classes):
+                one = train.withColumn("label", (F.col("label") == k).cast("int"))
+                own = target_encode_train(one, c.name, x) if training else target_encode(rows, one, c.name, x)
+                out.append(own.withColumn("feature", F.concat("feature", F.lit(f"[{k}]"))))
+        return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.errors import ClaimError, refuse
 from assayer.operators.logs import append, read_log
+from assayer.operators.provenance import file_digest
 
 STATUSES = ("registered", "confirmed", "refuted", "inverted", "inconclusive", "untested")
 ID = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
@@ -92,7 +93,7 @@ class Register:
         out: dict[str, dict] = {}
         for e in read_log(self.path):
             c = out.setdefault(e["claim"], {"amendments": []})
-            c.update({k: e[k] for k in ("prediction", "question", "version", "snapshot", "status") if k in e})
+            c.update({k: e[k] for k in ("prediction", "question", "version", "snapshot", "status", "statement", "exploratory") if k in e})
             if e["kind"] == "register":
                 c["registered_at"] = e["recorded_at"]
             if e["kind"] == "amend":
@@ -103,55 +104,67 @@ class Register:
                 c["resolution"] = e
         return out
 
-    def _entry(self, claim: str) -> dict:
+    def known(self, claim: str) -> dict:
         found = self.state().get(claim)
         refuse(ClaimError, [] if found else [f"no claim {claim!r} is registered"])
         return found
 
-    def register(self, claim: str, question: str, prediction: str, snapshot: Mapping, version: int) -> dict:
+    def register(self, claim: str, question: str, prediction: str, snapshot: Mapping, version: int, statement: str = "", exploratory: bool = False) -> dict:
+        """An exploratory claim may follow the first run, and is shown as one."""
         out = [] if ID.fullmatch(claim) else [f"{claim!r} can't name a claim"]
         if claim in self.state():
             out.append(f"claim {claim!r} is registered already")
         refuse(ClaimError, out)
         parse_prediction(prediction)
-        return append(self.path, {"kind": "register", "claim": claim, "question": question, "prediction": prediction, "snapshot": dict(snapshot), "version": version})
+        more = ({"statement": statement} if statement else {}) | ({"exploratory": True} if exploratory else {})
+        return append(self.path, {"kind": "register", "claim": claim, "question": question, "prediction": prediction, "snapshot": dict(snapshot), "version": version} | more)
 
-    def amend(self, claim: str, prediction: str, snapshot: Mapping, version: int, reason: str) -> dict:
-        own = self._entry(claim)
+    def amend(self, claim: str, prediction: str, snapshot: Mapping, version: int, reason: str, statement: str | None = None, question: str | None = None) -> dict:
+        own = self.known(claim)
         parse_prediction(prediction)
         out = [] if version > own["version"] else ["an amendment needs a later version of the construct"]
         out += [] if reason.strip() else ["an amendment needs a reason"]
         refuse(ClaimError, out)
-        return append(self.path, {"kind": "amend", "claim": claim, "prediction": prediction, "snapshot": dict(snapshot), "version": version, "reason": reason, "had_result": own.get("resolution") is not None})
+        more = ({"statement": statement} if statement else {}) | ({"question": question} if question else {})
+        return append(self.path, {"kind": "amend", "claim": claim, "prediction": prediction, "snapshot": dict(snapshot), "version": version, "reason": reason, "had_result": own.get("resolution") is not None} | more)
 
     def untested(self, claim: str, reason: str) -> dict:
-        self._entry(claim)
+        self.known(claim)
         refuse(ClaimError, [] if reason.strip() else ["marking a claim untested needs a reason"])
         return append(self.path, {"kind": "untested", "claim": claim, "status": "untested", "reason": reason})
 
-    def resolve(self, verdicts: Mapping[str, Mapping], verdict_sha: str, first_run: str) -> list[dict]:
+    def resolve(self, verdicts: Mapping[str, Mapping], verdict_sha: str, first_run: str, path: str | None = None) -> list[dict]:
         """Append a resolution for each open claim with a verdict, all or none; a verdict resolved before is passed over."""
         todo, problems = [], []
         for claim, own in self.state().items():
             verdict = verdicts.get(own["question"])
             if verdict is None or own["status"] == "untested" or (own.get("resolution") or {}).get("verdict_sha") == verdict_sha:
                 continue
-            if own["registered_at"] >= first_run:
+            if own["registered_at"] >= first_run and not own.get("exploratory"):
                 problems.append(f"{claim} was registered after the first run")
             if own["snapshot"] != verdict["snapshot"]:
                 problems.append(f"the question of {claim} has changed since")
             if verdict.get("oracle"):
                 problems.append(f"{claim}: a verdict by oracle selection can't confirm a claim")
-            todo.append({"kind": "resolve", "claim": claim, "status": status_of(own["prediction"], verdict["outcome"], verdict.get("better")), "verdict_sha": verdict_sha, "amended_after_results": any(t >= first_run for t in own["amendments"])})
+            todo.append({"kind": "resolve", "claim": claim, "status": status_of(own["prediction"], verdict["outcome"], verdict.get("better")), "verdict_sha": verdict_sha, "verdicts": path, "amended_after_results": any(t >= first_run for t in own["amendments"])})
         refuse(ClaimError, problems)
         return [append(self.path, e) for e in todo]
 
-    def check_document(self, text: str, require_all: bool = False) -> None:
+    def check_document(self, text: str, require_all: bool = False) -> dict[str, str]:
+        """(claim: status) of the claims a document cites; refused where one is not registered, has no result yet, or has one whose
+        verdicts file was changed since."""
         named, known = set(re.findall(CITED, text)), self.state()
         out = [f"the document cites {c}, which is not registered" for c in sorted(named - set(known))]
+        for c in sorted(named & set(known)):
+            found = known[c].get("resolution") or {}
+            if known[c]["status"] == "registered":
+                out.append(f"the document cites {c}, which has no result")
+            elif found.get("verdicts") and known[c]["status"] != "untested" and (not Path(found["verdicts"]).exists() or file_digest(found["verdicts"]) != found["verdict_sha"]):
+                out.append(f"the document cites {c}, whose verdicts changed since it was resolved")
         if require_all:
             out += [f"{c} is not cited" for c in sorted(set(known) - named)]
         refuse(ClaimError, out)
+        return {c: known[c]["status"] for c in sorted(named)}
 
 
 def status_of(prediction: str, outcome: str, better: str | None) -> str:

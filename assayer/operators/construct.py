@@ -71,7 +71,7 @@ def problems(raw: object) -> list[str]:
 def load(path: str | Path) -> dict:
     path = Path(path)
     if not path.exists():
-        raise ConstructError(f"{path} is missing; state the construct before freezing")
+        raise ConstructError(f"there is no construct at {path}; write down what is measured, and why, first")
     raw = yaml.safe_load(path.read_text(encoding="utf-8"))
     refuse(ConstructError, problems(raw))
     return raw

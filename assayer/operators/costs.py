@@ -12,11 +12,14 @@ from assayer.errors import LogError, UnpricedModel, refuse
 from assayer.operators.logs import append
 
 
-def rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def rollup(calls: DataFrame, prices: DataFrame, strict: bool = True) -> DataFrame:
     """(model, calls, input_tokens, output_tokens, cost) of calls (model, input_tokens, output_tokens) under prices
-    (model, input_per_1k, output_per_1k), one row a model; ``cost`` is null for a model without a price."""
+    (model, input_per_1k, output_per_1k), one row a model. With ``strict`` a model without a price fails when its row is
+    read; else its cost is null."""
     sums = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     cost = (F.col("input_tokens") * F.col("input_per_1k") + F.col("output_tokens") * F.col("output_per_1k")) / 1000
+    if strict:
+        cost = F.when(F.col("input_per_1k").isNull(), F.raise_error(F.concat(F.lit("a model has no price: "), "model")).cast("double")).otherwise(cost)
     return sums.join(prices, "model", "left").select("model", "calls", "input_tokens", "output_tokens", cost.alias("cost"))
 
 
@@ -32,7 +35,7 @@ def repair_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def record_repair(path: str, name: str, reason: str, before: Mapping[str, float], after: Mapping[str, float]) -> dict:
     """Log what a repair changed, cell by cell; refused unless both cover the same cells."""
-    refuse(LogError, [] if set(before) == set(after) and before else ["before and after must cover the same cells"])
+    refuse(LogError, [] if set(before) == set(after) and before else ["a repair is measured on the same cells before and after"])
     deltas = {c: after[c] - before[c] for c in sorted(before)}
     return append(path, {"kind": "repair", "name": name, "reason": reason, "deltas": deltas, "mean_delta": sum(deltas.values()) / len(deltas)})
 
@@ -63,7 +66,7 @@ class Meter:
         if self.prices is None:
             raise UnpricedModel("no price table was given")
         if model not in self.prices.models:
-            raise UnpricedModel(f"{model} has no price; price it before calling it")
+            raise UnpricedModel(f"the price table lacks {model}; the call is not made")
         own = self.calls.setdefault(model, [0, 0, 0])
         for i, n in enumerate((1, input_tokens, output_tokens)):
             own[i] += n

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.errors import FixtureError, StaleInput, refuse
@@ -32,8 +32,11 @@ def spec_problems(raw: Mapping, stated: Mapping) -> list[str]:
         if t.get("type") not in ("binary", "multiclass"):
             out.append(f"task {name}: type must be binary or multiclass")
         rule = t.get("label_rule")
-        if not (isinstance(rule, Mapping) and "column" in rule and set(rule) <= {"column", "map"}):
-            out.append(f"task {name}: label_rule must be {{column}} or {{column, map}}; there are no fallbacks")
+        called = isinstance(rule, Mapping) and set(rule) == {"function"} and str(rule["function"]).count(":") == 1
+        if not (called or isinstance(rule, Mapping) and "column" in rule and set(rule) <= {"column", "map"}):
+            out.append(f"task {name}: label_rule must be {{column}}, {{column, map}} or {{function: module.py:name}}")
+        if called and not t.get("label_columns"):
+            out.append(f"task {name}: a function needs label_columns, the columns that it reads")
     split = raw.get("split") or {}
     test, keys = split.get("test") or {}, split.get("keys") or []
     share = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and 0 < x < 1
@@ -62,11 +65,22 @@ def specs(raw: Mapping) -> dict[str, tuple[str, Spec]]:
     out = {}
     for name, t in raw["tasks"].items():
         rule = t["label_rule"]
-        label = fixtures.label_map(rule["column"], rule["map"]) if "map" in rule else rule["column"]
+        label = rule.get("function") or (fixtures.label_map(rule["column"], rule["map"]) if "map" in rule else rule["column"])
         out[name] = (t["source"], Spec(name, raw["id_column"], label, list(split["keys"]), test, float(split["validation"]), t["type"], raw.get("cluster_column"), t.get("cell_by"), arms))
     return out
 
 
+def _called(df: DataFrame, folder: Path, task: Mapping, id_column: str) -> Column:
+    """The label that a specification's own function (table -> column) gives, held to the columns that it declares."""
+    from assayer.operators.project import load_module
+
+    file, _, name = task["label_rule"]["function"].partition(":")
+    refuse(FixtureError, [] if (folder / file).is_file() else [f"there is no file {folder / file} for the label rule"])
+    rule = getattr(load_module(folder / file), name, None)
+    refuse(FixtureError, [] if callable(rule) else [f"{file} has no function {name!r}"])
+    return fixtures.checked_label(df, id_column, rule, task["label_columns"])
+
+
 def metadata(rows: DataFrame, source: DataFrame, spec: Spec) -> dict:
     """Counts of a frozen task; all aggregates of a few rows."""
     counted = fixtures.exclusions(source, spec).first()
@@ -83,7 +97,7 @@ def metadata(rows: DataFrame, source: DataFrame, spec: Spec) -> dict:
 
 def freeze(spark: SparkSession, path: str | Path, out: str | Path) -> Path:
     """Check and write a specification's fixture; returns its folder, named by the first 16 hex digits of its content."""
-    path, out = Path(path), Path(out)
+    path, out = Path(path).resolve(), Path(out).resolve()
     raw = yaml.safe_load(path.read_text(encoding="utf-8"))
     stated_at = path.parent / raw.get("construct", "construct.yaml")
     refuse(FixtureError, spec_problems(raw, construct.load(stated_at)))
@@ -91,8 +105,10 @@ def freeze(spark: SparkSession, path: str | Path, out: str | Path) -> Path:
     for name, (source, spec) in specs(raw).items():
         at = path.parent / source
         df = read_source(spark, str(at), raw["id_column"])
+        if "function" in raw["tasks"][name]["label_rule"]:
+            spec = replace(spec, label=_called(df, path.parent, raw["tasks"][name], raw["id_column"]))
         fixtures.check(df, spec)
-        rows = fixtures.assignments(df, replace(spec))
+        rows = fixtures.assignments(df, spec)
         tables[name] = rows
         parts[name] = {"source": source, "source_sha256": file_digest(at), "content": content_digest(rows).first().asDict(), "meta": metadata(rows, df, spec)}
     body = {"spec": json.loads(json.dumps(raw, default=str)), "construct_sha256": file_digest(stated_at), "tasks": parts}
@@ -109,18 +125,20 @@ def freeze(spark: SparkSession, path: str | Path, out: str | Path) -> Path:
 
 def load(spark: SparkSession, folder: str | Path) -> tuple[dict, dict[str, DataFrame]]:
     """A frozen fixture's manifest and tables; refused if a table or a source was modified after it was frozen."""
-    folder = Path(folder)
+    folder = Path(folder).resolve()
     if not (folder / "manifest.json").exists():
-        raise FixtureError(f"{folder} has not been frozen")
+        raise FixtureError(f"there is no frozen fixture in {folder}")
     manifest = json.loads((folder / "manifest.json").read_text(encoding="utf-8"))
     tables, problems, base = {}, [], Path(manifest["spec_path"]).parent
     for name, part in manifest["tasks"].items():
         tables[name] = spark.read.parquet(str(folder / f"{name}.parquet"))
         if content_digest(tables[name]).first().asDict() != part["content"]:
-            problems.append(f"{name} was modified after it was frozen")
+            problems.append(f"the table of {name} is not what was frozen")
         source = base / part["source"]
-        if source.exists() and file_digest(source) != part["source_sha256"]:
-            problems.append(f"the source of {name} changed; freeze it again")
+        if not source.exists():
+            problems.append(f"the source of {name} is gone")
+        elif file_digest(source) != part["source_sha256"]:
+            problems.append(f"the source of {name} is another one by now; freeze it again")
     refuse(StaleInput, problems)
     return manifest, tables
 

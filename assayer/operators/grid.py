@@ -51,7 +51,7 @@ def require_complete(statuses: DataFrame) -> None:
     open_ = statuses.where(~F.col("status").isin(*DONE))
     left = open_.count()
     some = [f"{r['cell']} {r['method']} {r['split_key']} s{r['fit_seed']} is {r['status']}" for r in open_.orderBy(*KEY).limit(5).collect()] if left else []
-    refuse(IncompleteGrid, [f"results over a partial grid are refused; {left} runs are open: " + "; ".join(some)] if left else [])
+    refuse(IncompleteGrid, [f"the grid has {left} open runs, so nothing is concluded from it: " + "; ".join(some)] if left else [])
 
 
 def mixed_code(records: DataFrame) -> DataFrame:

@@ -60,6 +60,17 @@ def append(path: str | Path, entry: dict) -> dict:
     return full
 
 
+def broken_entries(lines: DataFrame) -> DataFrame:
+    """Rows of raw lines (log, line) of any number of logs that break a chain: an entry whose own hash is not that of its body, or
+    whose ``prev`` or ``seq`` doesn't follow. The body is the line's canonical text without its hash."""
+    entry = F.from_json("line", "seq long, prev string, hash string")
+    told = F.regexp_replace("line", r',?"hash":"[0-9a-f]{64}"', "")
+    own = lines.select("log", "line", entry.alias("e"), F.sha2(F.regexp_replace(told, r"^\{,", "{"), 256).alias("found")).select("log", "line", "e.*", "found")
+    broken = broken_links(own.select("log", "seq", "prev", "hash")).select("log", "seq").distinct()
+    edited = own.where(F.col("hash").isNull() | (F.col("hash") != F.col("found"))).select("log", "seq")
+    return broken.union(edited).distinct()
+
+
 def broken_links(entries: DataFrame) -> DataFrame:
     """Rows of (log, seq, prev, hash) whose ``prev`` isn't the hash before, or whose ``seq`` doesn't follow."""
     own = Window.partitionBy("log").orderBy("seq")

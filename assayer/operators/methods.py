@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +48,13 @@ def priors(train: DataFrame, classes: int) -> DataFrame:
     return train.agg(F.array(*(F.avg((F.col("label") == k).cast("double")) for k in range(classes))).alias("probs"))
 
 
-def vectors(long: DataFrame, index: dict[str, int], rows: DataFrame) -> DataFrame:
-    """rows with ``features``: a vector of the long (id, feature, value) by index; features outside it are left out."""
-    at = F.create_map(*(x for k, v in index.items() for x in (F.lit(k), F.lit(v))))
-    pairs = long.withColumn("at", F.try_element_at(at, F.col("feature"))).where("at is not null").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
-    joined = rows.join(pairs, "id", "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(index) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return joined.withColumn("features", array_to_vector(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), len(index))).otherwise(dense))).drop("m")
+def vectors(long: DataFrame, index: DataFrame, n: int, rows: DataFrame) -> DataFrame:
+    """rows with ``features``: a sparse vector of the long (id, feature, value) by index (feature, at) of ``n`` features; features
+    outside it are left out. Spark's functions make dense vectors only, so a row's pairs become a vector in Python."""
+    known = long.join(index, "feature").where("value <> 0")
+    pairs = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_pairs"))
+    sparse = F.udf(lambda p: Vectors.sparse(n, [(x[0], x[1]) for x in p or []]), VectorUDT(), useArrow=False)
+    return rows.join(pairs, "id", "left").withColumn("features", sparse("_pairs")).drop("_pairs")
 
 
 def _padded(classes: int):

@@ -89,13 +89,13 @@ def read_artifact(path: str | Path, root: str | Path | None = None, allow_code_d
         if not source.exists():
             problems.append(f"{path}: its input {name} is gone")
         elif file_digest(source) != i["sha256"]:
-            problems.append(f"{path}: its input {name} changed; it is stale, recompute it")
+            problems.append(f"{path}: its input {name} is another one by now; make it anew")
     if root is not None and not allow_code_drift and mark["code_state"]["digest"] != code_state(root)["digest"]:
-        problems.append(f"{path}: the code changed since it was written")
+        problems.append(f"{path}: other code wrote it")
     refuse(StaleInput, problems)
     return found
 
 
 def same_code(artifacts: Sequence[Mapping]) -> None:
     states = {a["_provenance"]["code_state"]["digest"] for a in artifacts}
-    refuse(StaleInput, ["the artifacts were written under different code"] if len(states) > 1 else [])
+    refuse(StaleInput, ["the artifacts come from more than one state of the code"] if len(states) > 1 else [])

@@ -1,10 +1,13 @@
-"""Cluster bootstrap as relational plans: draws are rows, multiplicities are weights."""
+"""Cluster bootstrap: draws are rows and multiplicities weights of a relational plan; of small groups, all draws are one matrix."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.hashing import pick
@@ -34,7 +37,7 @@ def resampled(rows: DataFrame, weights: DataFrame, by: Sequence[str], name: str,
     """(by..., extra..., draw, value) of a metric on every draw at once; null where a draw has one class."""
     kept = [c for c in rows.columns if c != "w"]
     joined = rows.select(*kept).join(weights, [*by, "cluster"])
-    return metric(name, many)(joined, [*by, *extra, "draw"])
+    return metric(name, many, RANGES)(joined, [*by, *extra, "draw"])
 
 
 def interval(points: DataFrame, values: DataFrame, by: Sequence[str], draws: int) -> DataFrame:
@@ -55,9 +58,105 @@ def weighted_once(rows: DataFrame) -> DataFrame:
     return rows.withColumn("w", F.lit(1))
 
 
+#: Rows of a group up to which its draws are computed in one task, as matrices; larger groups take the relational plan. And
+#: numbers in one such matrix.
+SMALL, CELLS = 200_000, 1 << 23
+#: Tasks over which the ordered pass of a larger group is dealt for each unit of the score.
+RANGES = 256
+RANKED = ("pr_auc", "roc_auc")
+
+
+def _small(rows: DataFrame, by: Sequence[str]) -> bool:
+    return (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= SMALL
+
+
+class _Picks:
+    """The counter hash of (seed, draw, slot) as numbers in [0, 1), kept for groups that share a seed."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, int], np.ndarray] = {}
+
+    def counts(self, seed: str, draws: range, slots: int) -> np.ndarray:
+        """How often each slot is drawn: draws x slots."""
+        out = np.zeros((len(draws), slots))
+        for i, d in enumerate(draws):
+            own = self.known.get((seed, d), np.zeros(0))
+            if len(own) < slots:
+                head = f"{seed}/{d}/"
+                more = b"".join(hashlib.sha256(f"{head}{s}".encode()).digest()[:4] for s in range(len(own), slots))
+                own = self.known[(seed, d)] = np.concatenate([own, np.frombuffer(more, ">u4") / float(1 << 32)])
+                if len(self.known) * slots > CELLS:
+                    self.known = {(seed, d): own}
+            out[i] = np.bincount((own[:slots] * slots).astype(np.int64), minlength=slots)
+        return out
+
+
+def _areas(label: np.ndarray, score: np.ndarray, weights: np.ndarray, name: str) -> np.ndarray:
+    """The metric of rows under each line of a matrix of weights (draws x rows); nan where a draw has one class."""
+    order = np.argsort(-score, kind="stable")
+    label, score, weights = label[order], score[order], weights[:, order]
+    ties = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+    p, n = (np.add.reduceat(weights * side, ties, axis=1) for side in (label, 1 - label))
+    tp, fp = p.cumsum(axis=1), n.cumsum(axis=1)
+    ups, downs = tp[:, -1], fp[:, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if name == "roc_auc":
+            out = (n * (tp - p / 2)).sum(axis=1) / (ups * downs)
+        else:
+            out = np.where(p > 0, p * tp / (tp + fp), 0.0).sum(axis=1) / ups
+    return np.where((ups > 0) & (downs > 0), out, np.nan)
+
+
+def _matrices(rows: DataFrame, by: Sequence[str], scores: Sequence[str], name: str, draws: int, seed: Column) -> DataFrame:
+    """(by..., point, values array) of each group: the metric of the first score column, less that of the second if there is one,
+    on the rows and on each draw (null: failed). A group is one task's, which is why ``_small`` comes first."""
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "point double, values array<double>"])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        label = table["label"].to_numpy().astype(float)
+        columns = [table[f"_s{i}"].to_numpy() for i in range(len(scores))]
+        clusters, slot = np.unique(np.array(table["cluster"].to_pylist(), object), return_inverse=True)
+        picks = _PICKS.setdefault("all", _Picks())
+        measure = lambda w: _areas(label, columns[0], w, name) - (_areas(label, columns[1], w, name) if len(columns) > 1 else 0.0)
+        step, values = max(1, CELLS // max(1, len(label))), []
+        for at in range(0, draws, step):
+            counts = picks.counts(table["_seed"][0].as_py(), range(at, min(draws, at + step)), len(clusters))
+            values.append(measure(counts[:, slot]))
+        listed = lambda v: [None if np.isnan(x) else float(x) for x in v]
+        own = [pa.array([k.as_py()], table.schema.field(c).type) for k, c in zip(key, by, strict=True)]
+        point = listed(measure(np.ones((1, len(label)))))
+        return pa.Table.from_arrays([*own, pa.array(point, pa.float64()), pa.array([listed(np.concatenate(values))], pa.list_(pa.float64()))], names=[*by, "point", "values"])
+
+    kept = rows.select(*by, "cluster", "label", *(F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)), seed.alias("_seed"))
+    return kept.groupBy(*by).applyInArrow(run, schema)
+
+
+#: One cache a worker process.
+_PICKS: dict[str, _Picks] = {}
+
+
+def _between(found: DataFrame, by: Sequence[str], draws: int) -> DataFrame:
+    """``interval`` of (by..., point, values array)."""
+    ranked = F.array_sort(F.filter("values", lambda v: v.isNotNull()))
+
+    def level(q: float) -> Column:
+        place = (F.size("_v") - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, b = F.get("_v", low), F.coalesce(F.get("_v", low + 1), F.get("_v", low))
+        return F.when(F.size("_v") > 0, a + (place - low) * (b - a))
+
+    own = found.withColumn("_v", ranked).withColumns({"lo": level(LEVELS[0]), "hi": level(LEVELS[1])})
+    return own.select(
+        *by, "point", "lo", "hi", F.lit(draws).cast("long").alias("n_boot"), (F.lit(draws) - F.size("_v")).cast("long").alias("n_failed"),
+        ((F.col("hi") - F.col("lo")) / 2).alias("half_width"), F.coalesce((F.col("lo") > 0) | (F.col("hi") < 0), F.lit(False)).alias("excludes_zero"),
+    )
+
+
 def bootstrap_metric(rows: DataFrame, by: Sequence[str], name: str, draws: int = 1000, seed: str | int = 0, many: bool = False) -> DataFrame:
     """Interval of one metric over resampled clusters of (by..., cluster, label, score or probs)."""
-    point = metric(name, many)(weighted_once(rows), by)
+    if name in RANKED and not many and _small(rows, by):
+        return _between(_matrices(rows, by, ["score"], name, draws, F.lit(str(seed))), by, draws)
+    point = metric(name, many, RANGES)(weighted_once(rows), by)
     return interval(point, resampled(rows, draw_weights(rows, by, draws, seed), by, name, many), by, draws)
 
 
@@ -75,21 +174,29 @@ def _difference(values: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def paired_difference(rows: DataFrame, by: Sequence[str], name: str, a: str, b: str, draws: int = 1000, seed: str | int = 0) -> DataFrame:
     """Interval of metric(a) - metric(b), columns ``a`` and ``b`` scoring the same rows, both on the same resamples."""
+    if name in RANKED and _small(rows, by):
+        return _between(_matrices(rows, by, [a, b], name, draws, F.lit(str(seed))), by, draws)
     both = _pair(rows, a, b)
-    point = _difference(metric(name)(weighted_once(both), [*by, "side"]), by)
+    point = _difference(metric(name, False, RANGES)(weighted_once(both), [*by, "side"]), by)
     values = resampled(both, draw_weights(rows, by, draws, seed), by, name, extra=["side"])
     return interval(point, _difference(values, [*by, "draw"]), by, draws)
 
 
-def difference_in_differences(rows: DataFrame, group: str, one: str, two: str, name: str, a: str, b: str, draws: int = 1000, seed: str | int = 0) -> DataFrame:
-    """One row: the interval of [a - b] on the rows whose ``group`` is ``one``, less the same on ``two``. Each group's clusters
-    are resampled by themselves."""
-    both = _pair(rows.where(F.col(group).isin(one, two)), a, b)
-    turn = lambda df, by: df.groupBy(*by).agg((F.max(F.when(F.col(group) == one, F.col("value"))) - F.max(F.when(F.col(group) == two, F.col("value")))).alias("value"))
-    point = turn(_difference(metric(name)(weighted_once(both), [group, "side"]), [group]), [])
+def difference_in_differences(rows: DataFrame, group: str, one: str, two: str, name: str, a: str, b: str, draws: int = 1000, seed: str | int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each ``by``: the interval of [a - b] on the rows whose ``group`` is ``one``, less the same on ``two``. Each group's
+    clusters are resampled by themselves."""
+    rows, by = rows.where(F.col(group).isin(one, two)), list(by)
+    if name in RANKED and _small(rows, [*by, group]):
+        seeds = F.when(F.col(group) == one, f"{seed}/0").otherwise(f"{seed}/1")
+        found = _matrices(rows, [*by, group], [a, b], name, draws, seeds)
+        of = lambda g, c: F.max(F.when(F.col(group) == g, F.col(c)))
+        sides = found.groupBy(*by).agg((of(one, "point") - of(two, "point")).alias("point"), of(one, "values").alias("_one"), of(two, "values").alias("_two"))
+        return _between(sides.withColumn("values", F.zip_with("_one", "_two", lambda x, y: x - y)), by, draws)
+    both = _pair(rows, a, b)
+    turn = lambda df, on: df.groupBy(*on).agg((F.max(F.when(F.col(group) == one, F.col("value"))) - F.max(F.when(F.col(group) == two, F.col("value")))).alias("value"))
+    point = turn(_difference(metric(name, False, RANGES)(weighted_once(both), [*by, group, "side"]), [*by, group]), by)
     sides = []
     for i, g in enumerate((one, two)):
-        own = rows.where(F.col(group) == g)
-        sides.append(draw_weights(own, [group], draws, f"{seed}/{i}"))
-    values = resampled(both, sides[0].unionByName(sides[1]), [group], name, extra=["side"])
-    return interval(point, turn(_difference(values, [group, "draw"]), ["draw"]), [], draws)
+        sides.append(draw_weights(rows.where(F.col(group) == g), [*by, group], draws, f"{seed}/{i}"))
+    values = resampled(both, sides[0].unionByName(sides[1]), [*by, group], name, extra=["side"])
+    return interval(point, turn(_difference(values, [*by, group, "draw"]), [*by, "draw"]), by, draws)

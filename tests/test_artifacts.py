@@ -27,7 +27,7 @@ def test_construct():
     assert len(construct.problems(STATED | {"version": True, "owner": "", "metric": {"name": "best"}, "odd": 1})) >= 4
     assert construct.problems(STATED | {"version": 2, "amendments": [{"version": 2, "date": "2024-02-02", "reason": "r"}]}) == []
     assert construct.problems(STATED | {"version": 2})
-    with pytest.raises(ConstructError, match="state the construct before freezing"):
+    with pytest.raises(ConstructError, match="there is no construct"):
         construct.load("/nowhere/construct.yaml")
 
 
@@ -46,14 +46,14 @@ def test_freeze_is_content_addressed(spark, tmp_path):
     (tmp_path / "t.csv").write_text(text)
     tables["t"].limit(10).write.mode("overwrite").parquet(str(tmp_path / "x"))
     spark.read.parquet(str(tmp_path / "x")).write.mode("overwrite").parquet(str(folder / "t.parquet"))
-    with pytest.raises(StaleInput, match="modified after it was frozen"):
+    with pytest.raises(StaleInput, match="is not what was frozen"):
         freeze.load(spark, folder)
-    with pytest.raises(FixtureError, match="has not been frozen"):
+    with pytest.raises(FixtureError, match="no frozen fixture"):
         freeze.load(spark, tmp_path / "none")
     raw["tasks"]["u"] = {"source": "t.csv", "type": "odd", "label_rule": "y"}
     raw["split"]["keys"] = ["k", "k"]
     found = " | ".join(freeze.spec_problems(raw, STATED))
-    assert "not in the construct statement" in found and "no fallbacks" in found and "distinct names" in found
+    assert "not in the construct statement" in found and "must be {column}" in found and "distinct names" in found
 
 
 def test_artifacts_go_stale(tmp_path):
@@ -65,23 +65,26 @@ def test_artifacts_go_stale(tmp_path):
     (tmp_path / "a.py").write_bytes(b"x = 1\r\n")
     provenance.read_artifact(at, tmp_path)
     (tmp_path / "a.py").write_text("x = 2\n")
-    with pytest.raises(StaleInput, match="the code changed"):
+    with pytest.raises(StaleInput, match="other code wrote it"):
         provenance.read_artifact(at, tmp_path)
     (tmp_path / "in.txt").write_text("two")
-    with pytest.raises(StaleInput, match="is stale, recompute it"):
+    with pytest.raises(StaleInput, match="make it anew"):
         provenance.read_artifact(at)
     other = json.loads(at.read_text())
     other["_provenance"]["code_state"]["digest"] = "0"
-    with pytest.raises(StaleInput, match="different code"):
+    with pytest.raises(StaleInput, match="more than one state"):
         provenance.same_code([json.loads(at.read_text()), other])
 
 
 def test_cli(spark, tmp_path, capsys):
     project(tmp_path)
     assert main(["construct", "check", str(tmp_path / "construct.yaml")]) == 0
-    assert main(["construct", "check", str(tmp_path / "none.yaml")]) == 1 and "state the construct" in capsys.readouterr().err
+    assert main(["construct", "check", str(tmp_path / "none.yaml")]) == 1 and "there is no construct" in capsys.readouterr().err
     assert main(["fixtures", "freeze", str(tmp_path / "spec.yaml"), "--out", str(tmp_path / "f")]) == 0
+    (tmp_path / "questions.yaml").write_text(yaml.safe_dump({"grid": "g", "resolution": "r", "questions": [{"id": "Q1", "question": "q", "rule": "difference_clears_floor", "params": {"cell": "t/A", "a": "x", "b": "y"}}]}))
     log = ["--log", str(tmp_path / "c.jsonl")]
-    assert main(["claims", "register", "Q1", "C1", "effect", *log]) == 0
-    assert main(["claims", "register", "Q1", "C1", "effect", *log]) == 1
-    assert main(["claims", "show", *log]) == 0 and '"C1"' in capsys.readouterr().out
+    own = ["--construct", str(tmp_path / "construct.yaml"), "--questions", str(tmp_path / "questions.yaml"), "--prediction", "effect", "--statement", "x is better", *log]
+    assert main(["claims", "register", "C1", "--question", "Q1", *own]) == 0
+    assert main(["claims", "register", "C1", "--question", "Q1", *own]) == 1
+    assert main(["claims", "register", "C2", "--question", "Q9", *own]) == 1 and "no question 'Q9'" in capsys.readouterr().err
+    assert main(["claims", "show", *log]) == 0 and "C1" in (said := capsys.readouterr().out) and "x is better" in said

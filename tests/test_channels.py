@@ -51,13 +51,13 @@ def test_target_encoding_does_not_leak(spark):
 
 
 def test_guards(spark):
-    with pytest.raises(ChannelError, match="refusing to fit on 2 test rows"):
+    with pytest.raises(ChannelError, match="not from 2 test rows"):
         Featurizer([], "split").fit(rows(spark))
-    with pytest.raises(ChannelError, match="before fit"):
+    with pytest.raises(ChannelError, match="must be fitted before"):
         Featurizer([], "split").transform(rows(spark))
     reg = Registry([Channel("a", "numeric", ["n", "label", "gone"]), Channel("b", "categorical", ["c", "n"], {})], {"t": ""})
     found = " | ".join(reg.problems())
-    assert "there is no default" in found and "is in channels a and b" in found and "has no reason" in found
+    assert "encoding must be given" in found and "is in channels a and b" in found and "has no reason" in found
     with pytest.raises(ChannelError) as e:
         reg.check(["id", "n", "c", "m", "t", "label"], ["label"], ["id"])
     text = " | ".join(e.value.problems)
@@ -91,3 +91,15 @@ def test_grid_run(spark, tmp_path):
     assert got["broken"]["status"] == "error" and "broken" in got["broken"]["reason"] and (got["away"]["status"], got["away"]["reason"]) == ("skipped", "not here")
     found = spark.read.parquet(str(tmp_path / "p"))
     assert found.where("method = 'logreg'").count() == df.where("split__k <> 'train'").count() and "train" not in {r[0] for r in found.select("split").distinct().collect()}
+
+
+def test_target_encoding_of_many_classes(spark):
+    rows = [(str(i), ["a", "b"][i % 2], [0, 1, 2, 2][i % 4], "train" if i < 40 else "test") for i in range(48)]
+    df = spark.createDataFrame(rows, "id string, c string, label int, split string")
+    channel = Channel("x", "categorical", ["c"], {"encoding": "target"})
+    fitted = Featurizer([channel], "split", 3).fit(df.where("split = 'train'"))
+    got = {(r["id"], r["feature"]): r["value"] for r in fitted.transform(df.where("split = 'test'")).collect()}
+    assert {f for _, f in got} == {"x:c[0]", "x:c[1]", "x:c[2]"}
+    # category a: labels 0 and 2 evenly; category b: 1 and 2; shrunk by one row to the overall shares
+    assert got[("40", "x:c[0]")] == pytest.approx((10 + 0.25) / 21) and got[("40", "x:c[1]")] == pytest.approx(0.25 / 21) and got[("41", "x:c[2]")] == pytest.approx((10 + 0.5) / 21)
+    assert sum(fitted.transform(df.where("split = 'train'"), training=True).where("id = '0'").toPandas()["value"]) == pytest.approx(1.0)

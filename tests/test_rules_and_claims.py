@@ -40,7 +40,7 @@ def test_gate(spark):
     assert found["difference_clears_floor"]["passed"]
     assert rules.gate(spark, ["difference_clears_floor"], known=found) == found
 
-    def always(spark, draws):
+    def always(spark, draws, run, same):
         return spark.range(draws).select(F.col("id").cast("string").alias("draw"), F.lit("effect").alias("outcome"))
 
     rules.rule("always", always)(lambda rows: rows)
@@ -84,11 +84,16 @@ def test_register_end_to_end(spark, tmp_path):
     assert state == {"C1": "confirmed", "C2": "untested"}
     r.amend("C1", "effect", {"rule": "x"}, 2, "why")
     assert claims.replay(claims.log_frame(spark, r.path)).where("claim = 'C1'").first()["status"] == "registered"
-    r.check_document("as [claim:C1] says")
+    with pytest.raises(ClaimError, match="C1, which has no result"):
+        r.check_document("as [claim:C1] says")
+    assert r.check_document("[claim:C2]") == {"C2": "untested"}
     with pytest.raises(ClaimError, match="C9"):
         r.check_document("[claim:C9]")
     with pytest.raises(ClaimError, match="C2 is not cited"):
         r.check_document("[claim:C1]", require_all=True)
+    late = claims.Register(tmp_path / "late.jsonl")
+    late.register("E1", "Q1", "effect", {"rule": "x"}, 1, "found by looking", exploratory=True)
+    assert [e["status"] for e in late.resolve(verdicts, "s", "2000-01-01")] == ["confirmed"] and late.state()["E1"]["exploratory"]
 
 
 def test_log_refuses_edits(tmp_path):
@@ -112,7 +117,7 @@ def test_grid(spark):
     total = grid.coverage(grid.run_status(planned, done, "x")).where("method is null").first()
     assert (total["planned"], total["ok"], total["missing"], total["complete"]) == (36, 18, 18, False)
     assert grid.run_status(planned, done, "y").where("status = 'stale'").count() == 18
-    with pytest.raises(IncompleteGrid, match="results over a partial grid"):
+    with pytest.raises(IncompleteGrid, match="nothing is concluded"):
         grid.require_complete(grid.run_status(planned, done, "x"))
 
 
@@ -120,7 +125,7 @@ def test_costs(tmp_path):
     prices = costs.PriceTable.from_dict({"models": {"m": {"input_per_1k": 1.0, "output_per_1k": 2.0, "read_on": "2024-01-01", "source_url": "u"}}})
     meter = costs.Meter(prices)
     assert meter.record("m", 1000, 500) == 2.0 and meter.totals()["total"] == 2.0
-    with pytest.raises(UnpricedModel, match="price it before calling it"):
+    with pytest.raises(UnpricedModel, match="the call is not made"):
         meter.record("n", 1, 1)
     with pytest.raises(UnpricedModel, match="no price table was given"):
         costs.Meter(None).record("m", 1, 1)
@@ -128,5 +133,5 @@ def test_costs(tmp_path):
         costs.PriceTable.from_dict({"models": {"m": {"input_per_1k": -1, "output_per_1k": 2.0, "source_url": "u"}}})
     log = tmp_path / "r.jsonl"
     assert costs.record_repair(log, "fix", "why", {"a": 0.5, "b": 0.5}, {"a": 0.55, "b": 0.52})["mean_delta"] == pytest.approx(0.035)
-    with pytest.raises(LogError, match="must cover the same cells"):
+    with pytest.raises(LogError, match="the same cells before and after"):
         costs.record_repair(log, "fix", "why", {"a": 1}, {"b": 1})
