@@ -29,7 +29,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.line_dedup import dedup_lines
 
     found = dedup_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed", F.sha2("text", 256).alias("kept_sha256"))
+    places = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", places.alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from assayer.llm import mixing, substring_dedup, warc
+    from assayer.llm import fingerprints, line_dedup, mixing, near_dedup, oracles, substring_dedup, warc
 
-    return {"op1_mix_sources": mixing.ORACLE, "op5_warc": warc.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op1_mix_sources": mixing.ORACLE, "op3_line_dedup": oracles.lines_sql(line_dedup.EDITS, line_dedup.EACH), "op5_warc": warc.ORACLE,
+        "op4_document_fingerprints": oracles.fingerprints_sql(fingerprints.SHINGLE, fingerprints.BINS, fingerprints.PROBES),
+        "op8_substring_dedup": substring_dedup.ORACLE, "op10_simhash_near_dedup": oracles.simhash_sql(near_dedup.SHINGLE, near_dedup.RADIUS),
+    }
