@@ -17,6 +17,10 @@ OPTIONAL = ("measures", "amendments")
 PARTS = {"target": ("name", "definition"), "metric": ("name", "reason"), "tasks": ("name", "reason"), "reported_numbers": ("name", "decision"), "measures": ("quantity", "used", "instead_of", "reason"), "amendments": ("version", "date", "reason")}
 
 
+#: Keys that a part may have besides.
+MAY = {"metric": ("alternatives",)}
+
+
 def _dated(value: object) -> bool:
     if isinstance(value, date):
         return True
@@ -30,7 +34,8 @@ def _dated(value: object) -> bool:
 def _lacking(where: str, part: object, keys: tuple[str, ...]) -> list[str]:
     if not isinstance(part, Mapping):
         return [f"{where} must be a mapping"]
-    return [f"{where} needs {k}" for k in keys if part.get(k) in (None, "")]
+    found = [f"{where} needs {k}" for k in keys if part.get(k) in (None, "")]
+    return found + [f"{where} has an unknown key {k!r}" for k in part if k not in (*keys, *MAY.get(where, ()))]
 
 
 def problems(raw: object) -> list[str]:
@@ -58,6 +63,9 @@ def problems(raw: object) -> list[str]:
     metric = raw.get("metric")
     if isinstance(metric, Mapping) and metric.get("name") and metric["name"] not in METRICS:
         out.append(f"metric must be one of {', '.join(METRICS)}")
+    if isinstance(metric, Mapping):
+        others = metric.get("alternatives") or []
+        out += ["the alternatives of metric must be a list"] if not isinstance(others, list) else [p for n, a in enumerate(others, 1) for p in _lacking(f"alternative {n}", a, ("name", "why_not"))]
     names = [t.get("name") for t in raw.get("tasks") or [] if isinstance(t, Mapping)]
     out += [f"task {n!r} appears more than once" for n in dict.fromkeys(names) if names.count(n) > 1]
     if whole:

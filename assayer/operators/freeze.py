@@ -22,6 +22,12 @@ from assayer.sources.tables import content_digest, read_source
 TOP, TASK = {"construct", "id_column", "cluster_column", "tasks", "split", "cutoffs", "arms"}, {"source", "type", "label_rule", "label_columns", "cell_by"}
 
 
+def _validation(split: Mapping) -> object:
+    """A share, by itself or as {fraction: share}."""
+    found = split.get("validation")
+    return found["fraction"] if isinstance(found, Mapping) and set(found) == {"fraction"} else found
+
+
 def spec_problems(raw: Mapping, stated: Mapping) -> list[str]:
     """Everything wrong with a fixture specification, against its construct."""
     out = [f"unknown key {k!r}" for k in raw if k not in TOP] + [f"the specification needs {k}" for k in ("construct", "id_column", "tasks", "split") if not raw.get(k)]
@@ -42,7 +48,7 @@ def spec_problems(raw: Mapping, stated: Mapping) -> list[str]:
     share = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and 0 < x < 1
     if not (set(test) == {"fraction", "key"} and share(test["fraction"]) or set(test) == {"column", "value"}):
         out.append("split.test must be {fraction, key} with a fraction between 0 and 1, or {column, value}")
-    if not share(split.get("validation")):
+    if not share(_validation(split)):
         out.append("split.validation must be a fraction between 0 and 1")
     if not keys or len(set(keys)) != len(keys) or not all(keys):
         out.append("split.keys must be distinct names")
@@ -66,7 +72,7 @@ def specs(raw: Mapping) -> dict[str, tuple[str, Spec]]:
     for name, t in raw["tasks"].items():
         rule = t["label_rule"]
         label = rule.get("function") or (fixtures.label_map(rule["column"], rule["map"]) if "map" in rule else rule["column"])
-        out[name] = (t["source"], Spec(name, raw["id_column"], label, list(split["keys"]), test, float(split["validation"]), t["type"], raw.get("cluster_column"), t.get("cell_by"), arms))
+        out[name] = (t["source"], Spec(name, raw["id_column"], label, list(split["keys"]), test, float(_validation(split)), t["type"], raw.get("cluster_column"), t.get("cell_by"), arms))
     return out
 
 

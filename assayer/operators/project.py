@@ -24,7 +24,7 @@ from assayer.operators.grid import KEY, cells_frame, coverage, mixed_code, plan,
 from assayer.operators.logs import append, canonical, read_log
 from assayer.operators.provenance import code_state, file_digest, read_artifact, write_artifact
 from assayer.operators.resample import weighted_once
-from assayer.sources.tables import PREDICTIONS, read_source
+from assayer.sources.tables import PREDICTIONS, columns_of, read_source
 
 NEEDED, ALLOWED = ("construct", "fixture", "registry", "methods"), ("fixtures_dir", "channel_manifest", "methods_module", "tasks", "split_keys", "fit_seeds", "threads", "prices", "out")
 ASKED = ("grid", "resolution", "questions")
@@ -178,7 +178,7 @@ def check_channels(spark: SparkSession, registry: str | Path, fixture: str | Pat
     manifest, _ = freeze.load(spark, at)
     spec, parts = manifest["spec"], {}
     for name, part in manifest["tasks"].items():
-        columns = read_source(spark, str(Path(manifest["spec_path"]).parent / part["source"])).columns
+        columns = columns_of(spark, str(Path(manifest["spec_path"]).parent / part["source"]))
         task = spec["tasks"][name]
         rule = task["label_rule"]
         labels = task.get("label_columns") or ([rule["column"]] if "column" in rule else [])

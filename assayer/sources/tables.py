@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,29 @@ def read_source(spark: SparkSession, path: str, id_column: str | None = None, sc
     return out.withColumn(id_column, F.col(id_column).cast("string")) if id_column else out
 
 
-def read_records(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
-    """JSON records anywhere under a folder, one file each; what can't be parsed is left out."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").option("mode", "DROPMALFORMED").json(folder)
+def columns_of(spark: SparkSession, path: str) -> list[str]:
+    """A table's columns from its header or footer: no row is read, no type inferred."""
+    if path.rstrip("/").rsplit(".", 1)[-1].lower() == "csv":
+        return spark.read.csv(path, header=True, inferSchema=False).columns
+    return read_source(spark, path).columns
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions from a headed CSV, one score a row in ``score`` or one for each class in p_0, p_1, ...: id, cluster, split, label, score and probs."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    classes = sorted((c for c in raw.columns if re.fullmatch("p_[0-9]+", c)), key=lambda c: int(c[2:]))
+    if "score" not in raw.columns and not classes:
+        raise ValueError(f"{path} has neither score nor p_0, p_1, ...")
+    score = F.col("score").cast("double") if "score" in raw.columns else F.lit(None).cast("double")
+    probs = F.array(*(F.col(c).cast("double") for c in classes)) if classes and "score" not in raw.columns else F.array(1 - score, score)
+    return raw.select(*(F.col(c) for c in ("id", "cluster", "split")), F.col("label").cast("int").alias("label"), score.alias("score"), probs.alias("probs"))
+
+
+def read_records(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON records anywhere under a folder, one file each, and (path) of the files that hold none."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    return files.where(~F.coalesce(broken, F.lit(True))).select("r.*").drop("_broken"), files.where(F.coalesce(broken, F.lit(True))).select("path")
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:

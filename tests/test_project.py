@@ -150,3 +150,37 @@ def test_edited_log_entries_are_found(spark, tmp_path):
     lines[2] = lines[2].replace("é 2", "é 9")
     assert [r["seq"] for r in broken_entries(frame(lines)).collect()] == [3]
     assert {r["seq"] for r in broken_entries(frame(lines[:1] + lines[3:])).collect()} == {4}
+
+
+def test_sources(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    from assayer.sources.pinned import stacked, unpacked
+    from assayer.sources.tables import columns_of, read_predictions, read_records
+
+    parts = {"A/train_x.csv": "nct,age\nN1,5\nN2,6\n", "A/train_y.csv": "nct,Y/N\nN2,0\nN1,1\n", "A/test_x.csv": "nct,age\nN3,7\n", "A/test_y.csv": "nct,Y/N\nN3,1\n"}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    sha = hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest()
+    with pytest.raises(FixtureError, match="not the pinned"):
+        unpacked(tmp_path / "a.zip", "0" * 64, tmp_path / "raw")
+    raw = unpacked(tmp_path / "a.zip", sha, tmp_path / "raw")
+    assert unpacked(tmp_path / "gone.zip", sha, tmp_path / "raw") == raw
+    names = {"cell": "phase_cell", "split": "shipped_split", "label": "label"}
+    got = {(r["nct"], r["phase_cell"], r["shipped_split"], r["label"], r["age"]) for r in stacked(spark, raw, ["A"], ["train", "test"], "nct", "Y/N", names).collect()}
+    assert got == {("N1", "A", "train", 1, 5), ("N2", "A", "train", 0, 6), ("N3", "A", "test", 1, 7)}
+    (raw / "A/test_y.csv").write_text("nct,Y/N\nN9,1\n")
+    with pytest.raises(FixtureError, match="A, test"):
+        stacked(spark, raw, ["A"], ["train", "test"], "nct", "Y/N", names)
+    assert columns_of(spark, str(raw / "A/train_x.csv")) == ["nct", "age"]
+    (tmp_path / "p.csv").write_text("id,cluster,split,label,p_1,p_10,p_0\na,c,test,1,0.2,0.5,0.3\n")
+    assert read_predictions(spark, str(tmp_path / "p.csv")).first()["probs"] == [0.3, 0.2, 0.5]
+    (tmp_path / "q.csv").write_text("id,cluster,split,label,score\na,c,test,1,0.25\n")
+    assert read_predictions(spark, str(tmp_path / "q.csv")).first()["probs"] == [0.75, 0.25]
+    (tmp_path / "r/x").mkdir(parents=True)
+    (tmp_path / "r/x/1.json").write_text('{"run": "a"}')
+    (tmp_path / "r/2.json").write_text('{"run": ')
+    good, bad = read_records(spark, str(tmp_path / "r"), "run string")
+    assert [r["run"] for r in good.collect()] == ["a"] and [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["2.json"]
