@@ -71,6 +71,39 @@ def _runs(same: np.ndarray, width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= width]
 
 
+def _matches_of(item: np.ndarray, doc: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(-length, start in item, start in doc) of the matches of at least ``width`` tokens along the diagonals that can hold one.
+
+    Where the same stretch of the item matches at very many places, as in a text of one repeated line, only the first n + n * length / width
+    are kept, n the item's tokens: tiles mark n tokens of the document at most, so one of those always stays free, and the
+    later ones can add nothing to it. Diagonals with one pattern of matches are looked at once."""
+    n, m, out, kept = len(item), len(doc), [], {}
+    marked = _diagonals(item, doc, width)
+
+    def keep(a: int, b: int, starts: np.ndarray) -> None:
+        room = n + n * (b - a) // width + 1 - kept.get((a, b), 0)
+        starts = starts[: max(0, room)]
+        kept[(a, b)] = kept.get((a, b), 0) + len(starts)
+        out.extend((a - b, a, j + a) for j in starts.tolist())
+
+    for d in marked[(marked < 0) | (marked > m - n)].tolist():
+        low, high = max(0, -d), min(n, m - d)
+        for a, b in _runs(item[low:high] == doc[low + d : high + d], width):
+            keep(low + a, low + b, np.array([d]))
+    inner = marked[(marked >= 0) & (marked <= m - n)]
+    step = max(1, (4 * BLOCK) // n)
+    for at in range(0, len(inner), step):
+        ds = inner[at : at + step]
+        packed = np.packbits(np.lib.stride_tricks.sliding_window_view(doc, n)[ds] == item, axis=1)
+        patterns, which = np.unique(packed, axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(which.ravel(), minlength=len(patterns)))
+        for u, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            for a, b in _runs(np.unpackbits(patterns[u])[:n], width):
+                keep(a, b, ds[order[lo:hi]])
+    return out
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = SEED) -> list[tuple[int, int, int]]:
     """(start in item, start in doc, length) of greedy tiles of two arrays of token numbers: the longest match of unmarked tokens
     again and again, ties to the earliest, down to ``shortest`` tokens (or the whole of a shorter item).
@@ -80,10 +113,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = SEED) -> list[tuple
     k = min(shortest, len(item))
     if not k or len(doc) < k:
         return []
-    heap = []
-    for d in _diagonals(item, doc, k).tolist():
-        low, high = max(0, -d), min(len(item), len(doc) - d)
-        heap += [(a - b, low + a, low + a + d) for a, b in _runs(item[low:high] == doc[low + d : high + d], k)]
+    heap = _matches_of(item, doc, k)
     heapq.heapify(heap)
     item_free, doc_free, left, out = np.ones(len(item), bool), np.ones(len(doc), bool), len(item), []
     while heap and left >= k:

@@ -511,14 +511,16 @@ def test_tiles():
     assert t(item, "x g h i j k l y a b c d e f z") == [(0, 8, 6), (6, 1, 6)]
     assert t(item, "a b c d x e f g h") == [] and t("a b", "x a b") == [(0, 1, 2)] and t("", item) == [] and t(item, "") == []
     rnd = random.Random(9)
-    for n in range(150):
-        letters = "ab" if n % 3 == 0 else "abcdefgh"
+    for n in range(250):
+        letters = "a" if n % 7 == 0 else "ab" if n % 3 == 0 else "abcdefgh"
         own, doc = [rnd.choice(letters) for _ in range(rnd.randrange(1, 25))], [rnd.choice(letters) for _ in range(rnd.randrange(40))]
         for _ in range(rnd.randrange(4)):
             at, to = rnd.randrange(len(own)), rnd.randrange(len(doc) + 1)
             doc[to:to] = own[at : at + rnd.randrange(3, 12)]
         assert t(" ".join(own), " ".join(doc)) == exhaustive_tiles(own, doc)
-    assert tiles(np.zeros(300, np.int32), np.zeros(400_000, np.int32)) == [(0, 0, 300)]
+    assert tiles(np.zeros(300, np.int32), np.zeros(300_000, np.int32)) == [(0, 0, 300)]
+    halves = np.concatenate([np.zeros(150, np.int32), np.ones(150, np.int32)])
+    assert tiles(halves, np.zeros(200_000, np.int32)) == [(0, 0, 150)]
 
 
 def test_decontamination(spark):
