@@ -703,3 +703,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100} | {i: 200 for i in range(200, 204)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_missing_shared_folder_is_refused_off_local_mode():
+    from types import SimpleNamespace
+
+    from assayer.llm.shared import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "file:///x/"}, sparkContext=context)) == "file:///x"
