@@ -1,54 +1,5 @@
-"""Tables that outlive a stage, in the folder that the driver and all executors share."""
+"""Tables that outlive a stage; see ``assayer.sources.shared``."""
 
-from __future__ import annotations
+from assayer.sources.shared import CLEANUP, shared_dir, shared_path, table
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Spark deletes the shuffle files of a query as it ends, and not whenever the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) one of our own:
-    on a cluster each executor would write to its own disk, so that is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; the master is {master}")
-        found = f"file://{tempfile.mkdtemp(prefix='assayer-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/assayer/{name}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-@contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. The shuffle
-    files that the write needed go with it, so disk holds tables and one query's shuffles at a time."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    with _cleaned(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["CLEANUP", "shared_dir", "shared_path", "table"]

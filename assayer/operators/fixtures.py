@@ -106,13 +106,13 @@ def labelled(df: DataFrame, spec: Spec) -> DataFrame:
     return out.withColumn("_reason", reason).withColumn("_cluster", F.col(spec.cluster or spec.id).cast("string"))
 
 
-def assignments(df: DataFrame, spec: Spec) -> DataFrame:
-    """id, cluster, cell, label, split__<key>..., arm of the kept rows. Row-local: no shuffle at any size."""
+def assignments(df: DataFrame, spec: Spec, carry: Sequence[str] = ()) -> DataFrame:
+    """id, cluster, cell, label, split__<key>..., arm of the kept rows, and the source's columns in ``carry``. Row-local: no shuffle at any size."""
     rows = labelled(df, spec).where("_reason is null")
     splits = [split_column(F.col("_cluster"), k, spec.test, spec.validation).alias(f"split__{k}") for k in spec.keys]
     return rows.select(
         F.col(spec.id).cast("string").alias("id"), F.col("_cluster").alias("cluster"), F.col("_cell").alias("cell"),
-        F.col("_label").cast("int").alias("label"), *splits, arm_column(spec.arms).alias("arm"),
+        F.col("_label").cast("int").alias("label"), *splits, arm_column(spec.arms).alias("arm"), *carry,
     )
 
 

@@ -1,4 +1,5 @@
-"""Cluster bootstrap: draws are rows and multiplicities weights of a relational plan; of small groups, all draws are one matrix."""
+"""Cluster bootstrap: draws are rows and multiplicities weights of a relational plan. Ranked metrics take the same draws as matrices of
+counts: of small groups in one task, of large ones in tasks of a block of draws each that walk through the rows."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.hashing import pick
 from assayer.functions.metrics import metric
+from assayer.operators.walks import packed, walked
+from assayer.sources.shared import stored
 
 LEVELS = (0.025, 0.975)
 
@@ -58,9 +61,9 @@ def weighted_once(rows: DataFrame) -> DataFrame:
     return rows.withColumn("w", F.lit(1))
 
 
-#: Rows of a group up to which its draws are computed in one task, as matrices; larger groups take the relational plan. And
-#: numbers in one such matrix.
-SMALL, CELLS = 200_000, 1 << 23
+#: Rows of a group up to which its draws are computed in one task, as matrices; larger groups are walked through. And numbers
+#: in one matrix (draws x rows of a small group, draws x clusters of a large one; one draw's at least).
+SMALL, CELLS = 5_000, 1 << 23
 #: Tasks over which the ordered pass of a larger group is dealt for each unit of the score.
 RANGES = 256
 RANKED = ("pr_auc", "roc_auc")
@@ -107,14 +110,26 @@ def _areas(label: np.ndarray, score: np.ndarray, weights: np.ndarray, name: str)
     return np.where((ups > 0) & (downs > 0), out, np.nan)
 
 
-def _matrices(rows: DataFrame, by: Sequence[str], scores: Sequence[str], name: str, draws: int, seed: Column) -> DataFrame:
+def _kept(rows: DataFrame, by: Sequence[str], scores: Sequence[str], seed: Column) -> DataFrame:
+    """(by..., cluster, label, _s0..., _seed), stored: it is read several times."""
+    columns = (F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores))
+    return stored(rows.select(*by, "cluster", "label", *columns, seed.alias("_seed")), "resampled")
+
+
+def _drawn(rows: DataFrame, by: Sequence[str], scores: Sequence[str], name: str, draws: int, seed: Column) -> DataFrame:
     """(by..., point, values array) of each group: the metric of the first score column, less that of the second if there is one,
-    on the rows and on each draw (null: failed). A group is one task's, which is why ``_small`` comes first."""
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "point double, values array<double>"])
+    on the rows and on each draw in order (null: failed)."""
+    kept = _kept(rows, by, scores, seed)
+    return (_matrices if _small(kept, by) else _walks)(kept, by, len(scores), name, draws)
+
+
+def _matrices(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int) -> DataFrame:
+    """``_drawn`` where a group is one task's, which is why ``_small`` comes first."""
+    schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in by), "point double, values array<double>"])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         label = table["label"].to_numpy().astype(float)
-        columns = [table[f"_s{i}"].to_numpy() for i in range(len(scores))]
+        columns = [table[f"_s{i}"].to_numpy() for i in range(sides)]
         clusters, slot = np.unique(np.array(table["cluster"].to_pylist(), object), return_inverse=True)
         picks = _PICKS.setdefault("all", _Picks())
         measure = lambda w: _areas(label, columns[0], w, name) - (_areas(label, columns[1], w, name) if len(columns) > 1 else 0.0)
@@ -127,10 +142,40 @@ def _matrices(rows: DataFrame, by: Sequence[str], scores: Sequence[str], name: s
         point = listed(measure(np.ones((1, len(label)))))
         return pa.Table.from_arrays([*own, pa.array(point, pa.float64()), pa.array([listed(np.concatenate(values))], pa.list_(pa.float64()))], names=[*by, "point", "values"])
 
-    kept = rows.select(*by, "cluster", "label", *(F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)), seed.alias("_seed"))
     return kept.groupBy(*by).applyInArrow(run, schema)
 
 
+def _walks(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int) -> DataFrame:
+    """``_drawn`` for groups of any size. Rows are packed by falling score into chunks of five bytes a row, of which each block of
+    draws gets a copy; its task holds the counts of its draws, and one chunk. Groups with one seed are walked by the same tasks, which
+    hash their slots once."""
+    spark = kept.sparkSession
+    slots = stored(cluster_slots(kept, by), "slots")
+    most = slots.agg(F.max("slots")).first()[0] or 1
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    step = -(-draws // (tasks * -(-draws * most // (tasks * CELLS))))
+    blocks = -(-draws // step)
+    same = F.col("cluster") == F.col("_cluster")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    numbered = kept.join(slots.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("cluster").alias("_cluster"), F.col("slot").alias("_slot"), F.col("slots").cast("long").alias("_slots")), same)
+    side = F.explode(F.array(*(F.struct(F.lit(i).alias("_side"), F.col(f"_s{i}").alias("_score")) for i in range(sides))))
+    long = numbered.select("_seed", "_slots", *by, "_slot", F.col("label").alias("_label"), side.alias("_x")).select("_seed", "_slots", *by, "_slot", "_label", "_x.*")
+    long = long.withColumn("_range", F.floor(F.col("_score") * RANGES))
+    keys = ["_seed", "_slots", *by, "_side", "_range"]
+    order = ["_seed", *by, "_side", F.desc("_range")]
+    typed = [f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys]
+    chunks = long.repartition(*by, "_side", "_range").sortWithinPartitions(*order, F.desc("_score"))
+    chunks = chunks.mapInArrow(lambda batches: packed(batches, keys), ", ".join([*typed, "_seq long, _chunk binary, _flags binary"]))
+    dealt = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, "_block").sortWithinPartitions("_block", *order, "_seq")
+    own = [f"`{c}` {long.schema[c].dataType.simpleString()}" for c in (*by, "_side")]
+    found = dealt.mapInArrow(lambda batches: walked(batches, by, name, draws, step), ", ".join([*own, "draw int, value double"]))
+    of = lambda i: F.max(F.when(F.col("_side") == i, F.col("value")))
+    each = found.groupBy(*by, "draw").agg((of(0) - of(1) if sides > 1 else of(0)).alias("value"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("draw") >= 0, F.struct("draw", "value"))))
+    return each.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("value"))).alias("point"), F.transform(listed, lambda x: x["value"]).alias("values"))
+
+
 #: One cache a worker process.
 _PICKS: dict[str, _Picks] = {}
 
@@ -154,8 +199,8 @@ def _between(found: DataFrame, by: Sequence[str], draws: int) -> DataFrame:
 
 def bootstrap_metric(rows: DataFrame, by: Sequence[str], name: str, draws: int = 1000, seed: str | int = 0, many: bool = False) -> DataFrame:
     """Interval of one metric over resampled clusters of (by..., cluster, label, score or probs)."""
-    if name in RANKED and not many and _small(rows, by):
-        return _between(_matrices(rows, by, ["score"], name, draws, F.lit(str(seed))), by, draws)
+    if name in RANKED and not many:
+        return _between(_drawn(rows, by, ["score"], name, draws, F.lit(str(seed))), by, draws)
     point = metric(name, many, RANGES)(weighted_once(rows), by)
     return interval(point, resampled(rows, draw_weights(rows, by, draws, seed), by, name, many), by, draws)
 
@@ -174,8 +219,8 @@ def _difference(values: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def paired_difference(rows: DataFrame, by: Sequence[str], name: str, a: str, b: str, draws: int = 1000, seed: str | int = 0) -> DataFrame:
     """Interval of metric(a) - metric(b), columns ``a`` and ``b`` scoring the same rows, both on the same resamples."""
-    if name in RANKED and _small(rows, by):
-        return _between(_matrices(rows, by, [a, b], name, draws, F.lit(str(seed))), by, draws)
+    if name in RANKED:
+        return _between(_drawn(rows, by, [a, b], name, draws, F.lit(str(seed))), by, draws)
     both = _pair(rows, a, b)
     point = _difference(metric(name, False, RANGES)(weighted_once(both), [*by, "side"]), by)
     values = resampled(both, draw_weights(rows, by, draws, seed), by, name, extra=["side"])
@@ -186,9 +231,9 @@ def difference_in_differences(rows: DataFrame, group: str, one: str, two: str, n
     """A row for each ``by``: the interval of [a - b] on the rows whose ``group`` is ``one``, less the same on ``two``. Each group's
     clusters are resampled by themselves."""
     rows, by = rows.where(F.col(group).isin(one, two)), list(by)
-    if name in RANKED and _small(rows, [*by, group]):
+    if name in RANKED:
         seeds = F.when(F.col(group) == one, f"{seed}/0").otherwise(f"{seed}/1")
-        found = _matrices(rows, [*by, group], [a, b], name, draws, seeds)
+        found = _drawn(rows, [*by, group], [a, b], name, draws, seeds)
         of = lambda g, c: F.max(F.when(F.col(group) == g, F.col(c)))
         sides = found.groupBy(*by).agg((of(one, "point") - of(two, "point")).alias("point"), of(one, "values").alias("_one"), of(two, "values").alias("_two"))
         return _between(sides.withColumn("values", F.zip_with("_one", "_two", lambda x, y: x - y)), by, draws)

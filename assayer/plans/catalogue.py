@@ -50,10 +50,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     """Assignments of all orders with three deterministic scores."""
     orders = read(spark, d, "orders")
     u = lambda key: hashing.unit_hash(key, F.col("id"))
-    ties = F.least(F.lit(1.0), F.floor(F.col("o_totalprice") / 10000) / 50.0).alias("ties")
-    rows = fixtures.assignments(orders.withColumn("_ties", ties), spec())
-    priced = orders.select(F.col("o_orderkey").cast("string").alias("id"), ties)
-    out = rows.join(priced, "id")
+    ties = F.least(F.lit(1.0), F.floor(F.col("o_totalprice") / 10000) / 50.0)
+    out = fixtures.assignments(orders.withColumn("ties", ties), spec(), ["ties"])
     return out.withColumn("score_a", 0.35 * F.col("label") + 0.65 * u("a")).withColumn("score_b", 0.3 * F.col("label") + 0.7 * u("b"))
 
 
