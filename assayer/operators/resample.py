@@ -150,30 +150,34 @@ def _walks(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int
     draws gets a copy; its task holds the counts of its draws, and one chunk. Groups with one seed are walked by the same tasks, which
     hash their slots once."""
     spark = kept.sparkSession
-    slots = stored(cluster_slots(kept, by), "slots")
-    most = slots.agg(F.max("slots")).first()[0] or 1
+    # groups are numbered in the order of their seeds; from here on a row names its group by a number
+    first = kept.groupBy(*by).agg(F.min("_seed").alias("_seed"))
+    groups = stored(first.withColumn("_g", F.row_number().over(Window.orderBy("_seed", *by))), "groups")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    own = kept.join(F.broadcast(groups.select("_g", *(F.col(c).alias(f"_of_{c}") for c in by))), same).select("_g", "cluster", "label", *(f"_s{i}" for i in range(sides)))
+    slots = stored(cluster_slots(own, ["_g"]), "slots")
+    sizes = slots.groupBy("_g").agg(F.max("slots").cast("long").alias("_slots"))
+    most = sizes.agg(F.max("_slots")).first()[0] or 1
     tasks = max(1, spark.sparkContext.defaultParallelism)
     step = -(-draws // (tasks * -(-draws * most // (tasks * CELLS))))
     blocks = -(-draws // step)
-    same = F.col("cluster") == F.col("_cluster")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    numbered = kept.join(slots.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("cluster").alias("_cluster"), F.col("slot").alias("_slot"), F.col("slots").cast("long").alias("_slots")), same)
+    numbered = own.join(slots.select("_g", "cluster", F.col("slot").alias("_slot")), ["_g", "cluster"])
     side = F.explode(F.array(*(F.struct(F.lit(i).alias("_side"), F.col(f"_s{i}").alias("_score")) for i in range(sides))))
-    long = numbered.select("_seed", "_slots", *by, "_slot", F.col("label").alias("_label"), side.alias("_x")).select("_seed", "_slots", *by, "_slot", "_label", "_x.*")
+    long = numbered.select("_g", "_slot", F.col("label").alias("_label"), side.alias("_x")).select("_g", "_slot", "_label", "_x.*")
     long = long.withColumn("_range", F.floor(F.col("_score") * RANGES))
-    keys = ["_seed", "_slots", *by, "_side", "_range"]
-    order = ["_seed", *by, "_side", F.desc("_range")]
-    typed = [f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys]
-    chunks = long.repartition(*by, "_side", "_range").sortWithinPartitions(*order, F.desc("_score"))
-    chunks = chunks.mapInArrow(lambda batches: packed(batches, keys), ", ".join([*typed, "_seq long, _chunk binary, _flags binary"]))
-    dealt = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, "_block").sortWithinPartitions("_block", *order, "_seq")
-    own = [f"`{c}` {long.schema[c].dataType.simpleString()}" for c in (*by, "_side")]
-    found = dealt.mapInArrow(lambda batches: walked(batches, by, name, draws, step), ", ".join([*own, "draw int, value double"]))
+    order = ["_g", "_side", F.desc("_range")]
+    chunks = long.repartition("_g", "_side", "_range").sortWithinPartitions(*order, F.desc("_score"))
+    chunks = chunks.mapInArrow(lambda batches: packed(batches, ["_g", "_side", "_range"]), "_g int, _side int, _range long, _seq long, _chunk binary, _flags binary")
+    named = chunks.join(F.broadcast(groups.select("_g", "_seed").join(sizes, "_g")), "_g")
+    dealt = named.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, "_block").sortWithinPartitions("_block", *order, "_seq")
+    found = dealt.mapInArrow(lambda batches: walked(batches, ["_g"], name, draws, step), "_g int, _side int, draw int, value double")
     of = lambda i: F.max(F.when(F.col("_side") == i, F.col("value")))
-    each = found.groupBy(*by, "draw").agg((of(0) - of(1) if sides > 1 else of(0)).alias("value"))
+    each = found.groupBy("_g", "draw").agg((of(0) - of(1) if sides > 1 else of(0)).alias("value"))
     listed = F.array_sort(F.collect_list(F.when(F.col("draw") >= 0, F.struct("draw", "value"))))
-    return each.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col("value"))).alias("point"), F.transform(listed, lambda x: x["value"]).alias("values"))
+    values = each.groupBy("_g").agg(F.max(F.when(F.col("draw") < 0, F.col("value"))).alias("point"), F.transform(listed, lambda x: x["value"]).alias("values"))
+    return values.join(F.broadcast(groups), "_g").select(*by, "point", "values")
 
 
 #: One cache a worker process.

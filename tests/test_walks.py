@@ -13,7 +13,7 @@ from assayer.plans.catalogue import ORACLES, QUERIES
 from tests.test_catalogue import FOLDER, flat
 
 #: Queries of the catalogue over ranked metrics of large groups.
-LARGE = ["bootstrap_interval", "difference_clears_floor", "k_of_n_cells", "paired_difference", "diff_in_diff", "difference_of_drops"]
+LARGE = ["bootstrap_interval", "difference_clears_floor", "k_of_n_cells", "paired_difference", "diff_in_diff", "difference_of_drops", "noise_test", "resolution_floor"]
 
 
 @pytest.mark.parametrize("name", LARGE)
