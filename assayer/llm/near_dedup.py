@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicates by BK-trees within pigeonhole shards; near-duplicates by an exact Jaccard join."""
+"""SimHash fingerprints and near-duplicates by BK-trees within pigeonhole shards, alone or verified by Jaccard similarity, with an exact join for the rest."""
 
 from __future__ import annotations
 
@@ -295,10 +295,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, alike: tuple
     return found.where((alike[0] + alike[1]) * F.col("shared") >= alike[0] * F.col("sizes")).select("a", "b")
 
 
+def simhash_pairs(docs: DataFrame, prints: DataFrame, shingle: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of nodes of ``prints`` (text_key, node, ...): each node and the least one of its component, over SimHash
+    fingerprints of ``shingle`` words that BK-trees find at most ``radius`` bits apart. a < b; the pairs are not verified yet."""
+    near = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), radius, shingle)
+    nodes = prints.select("text_key", "node").distinct().join(near.select(F.col("doc_id").alias("text_key"), "component_id").distinct(), "text_key")
+    nodes = table(nodes.select("component_id", "node").distinct(), "near")
+    least = table(nodes.groupBy("component_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high").drop("high"), "least")
+    return nodes.join(least, "component_id").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
     """Edges (a, b) that connect all different sets of a Jaccard similarity of at least ``alike``; ``prints`` has
     (text_key, node, size, shingles, counts) with the first shingles of each row's set.
 
+    SimHash and its BK-trees propose the near copies within their radius (``simhash_pairs``), which are verified on the whole sets. At
+    this similarity most pairs lie beyond any radius that pigeonhole shards can serve, so an exact join finds the rest.
+
     Two such sets share one of their first shingles, whatever order the shingles stand in, and by the places of the first they
     share enough can still follow (PPJoin; Xiao et al., 2008). The rarer shingles come first, so few unlike sets meet. All
     members of a shard meet its least node first; the rest meet only where that has not connected them
@@ -312,7 +325,8 @@ def alike_links(docs: DataFrame, prints: DataFrame, alike: tuple[int, int] = ALI
     left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     near = (num + den) * left >= num * (F.col("size_a") + F.col("size_b"))
     hubs = held.where("node = low").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
-    first = table(hubs.join(side("b"), "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), "first")
+    met = hubs.join(side("b"), "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
+    first = table(simhash_pairs(docs, prints, shingle).unionByName(met).distinct(), "first")
     star = _verified(first, docs, prints, alike, shingle)
     roots = table(components(star), "roots")
     held = table(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -351,7 +365,8 @@ def alike_documents(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: in
 
 
 def one_of_each(docs: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, less the near-duplicates: of each group one row stays, that with the
+    """The rows of ``docs``, with all their columns, less the near-duplicates (SimHash and BK-trees, verified, and the exact join
+    for what lies beyond their radius): of each group one row stays, that with the
     smallest doc_id, a null one only where there is no other; of rows that share it, the least by a hash of the text. Rows are
     told apart by 128 bits of (doc_id, text), so rows of other groups with the same doc_id stay."""
     prints, linked = _grouped(docs, alike, shingle)
