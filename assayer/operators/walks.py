@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Slots that are hashed, and rows that are walked, at a time.
-PIECE, CHUNK = 1 << 16, 1 << 15
+#: Slots that are hashed, and rows that are unpacked, at a time; numbers (rows x draws) that are walked at a time.
+PIECE, CHUNK, WALKED = 1 << 16, 1 << 15, 1 << 17
+#: Rows without ties that are summed up as one, and counts up to which their sums fit 16 bits.
+TOGETHER, NARROW = 16, 15
 #: A row's flags in a chunk: it is of class 1; its score differs from the row's before.
 LABEL, START = 1, 2
 
@@ -62,7 +64,7 @@ class Picked:
     """How often each slot is drawn, in each draw of a block. Groups that share a seed share its counter hash."""
 
     def __init__(self, draws: range) -> None:
-        self.draws, self.seed, self.bits, self.at, self.found = draws, None, None, None, None
+        self.draws, self.seed, self.bits, self.at, self.found, self.turned = draws, None, None, None, None, None
 
     def _hash(self, seed: str, slots: int) -> None:
         if seed != self.seed:
@@ -90,61 +92,92 @@ class Picked:
                 if line.max() > np.iinfo(lines.dtype).max:
                     lines = lines.astype(np.uint32)
                 lines[i] = line
-            self.at, self.found = (seed, slots), lines
+            self.at, self.found, self.turned = (seed, slots), lines, None
         return self.found
 
+    def walk(self, name: str, seed: str, slots: int, whole: bool) -> Walk:
+        counts = self.counts(seed, slots, whole)
+        if self.turned is None:
+            self.turned = by_slot(counts)
+        return Walk(name, counts, self.turned)
+
+
+def by_slot(counts: np.ndarray) -> np.ndarray:
+    """Counts (draws x slots) with a line for each slot, and a last one of zeros, of a type that holds the sums of ``TOGETHER`` rows."""
+    out = np.zeros((counts.shape[1] + 1, len(counts)), np.uint16 if counts.max(initial=0) <= NARROW else np.int64)
+    out[:-1] = counts.T
+    return out
+
 
 class Walk:
     """A ranked metric of one group under each line of counts (draws x slots), over rows that come by falling score, a chunk at a time."""
 
-    def __init__(self, name: str, counts: np.ndarray) -> None:
-        self.name, self.counts = name, counts
+    def __init__(self, name: str, counts: np.ndarray, lines: np.ndarray | None = None) -> None:
+        self.name, self.lines = name, by_slot(counts) if lines is None else lines
         #: Weights of both classes so far, the sum of the metric, and the weights of the step that may run on.
         self.tp, self.fp, self.area, self.p, self.n = (np.zeros(len(counts)) for _ in range(5))
 
     def add(self, slot: np.ndarray, flags: np.ndarray) -> None:
-        label, start = (flags & LABEL) > 0, (flags & START) > 0
-        steps = np.flatnonzero(start)
-        bounds = np.concatenate([[0], steps, [len(slot)]])
-        (self._roc if self.name == "roc_auc" else self._pr)(slot.astype(np.intp), label, start, steps, bounds)
-
-    def _roc(self, slot: np.ndarray, label: np.ndarray, start: np.ndarray, steps: np.ndarray, bounds: np.ndarray) -> None:
-        ups, downs = slot[label], slot[~label]
-        before = np.concatenate([[0], np.cumsum(label)])
-        step = np.cumsum(start)[~label]
-        low, high = before[bounds[step]], before[bounds[step + 1]]
-        tied = (high > low).any()
-        run, last = bounds[1], steps[-1] if len(steps) else 0
-        cum = np.zeros(len(ups) + 1)
-        for i, line in enumerate(self.counts):
-            np.cumsum(line.take(ups), out=cum[1:], dtype=float)
-            n = line.take(downs).astype(float)
-            above = (cum.take(low) + cum.take(high)) / 2 if tied else cum.take(low)
-            down = n.sum()
-            self.area[i] += self.tp[i] * down + n @ above
-            if run:  # these tie with rows of chunks before
-                self.area[i] += (self.n[i] * cum[before[run]] - self.p[i] * n[: run - before[run]].sum()) / 2
-            if len(steps):
-                self.p[i] = self.n[i] = 0
-            self.p[i] += cum[-1] - cum[before[last]]
-            self.n[i] += n[last - before[last] :].sum()
-            self.tp[i] += cum[-1]
-            self.fp[i] += down
-
-    def _pr(self, slot: np.ndarray, label: np.ndarray, start: np.ndarray, steps: np.ndarray, bounds: np.ndarray) -> None:
-        cum, both = np.zeros(len(slot) + 1), np.zeros(len(slot) + 1)
-        for i, line in enumerate(self.counts):
-            w = line.take(slot)
-            np.cumsum(w * label, out=cum[1:], dtype=float)
-            np.cumsum(w, out=both[1:], dtype=float)
-            tp, total = cum[bounds], both[bounds]
-            p = np.diff(tp)
-            p[0] += self.p[i]
-            hit = p[:-1] > 0  # the last step may run on
-            self.area[i] += (p[:-1][hit] * (self.tp[i] + tp[1:-1][hit]) / (self.tp[i] + self.fp[i] + total[1:-1][hit])).sum()
-            self.p[i] = p[-1]
-            self.tp[i] += tp[-1]
-            self.fp[i] += total[-1] - tp[-1]
+        step = TOGETHER * max(1, WALKED // (TOGETHER * len(self.tp)))
+        for at in range(0, len(slot), step):
+            own = flags[at : at + step]
+            label, start = (own & LABEL).astype(self.lines.dtype), np.flatnonzero(own & START)
+            run = not len(start) or start[0] > 0  # the first ties with rows of chunks before
+            (self._roc if self.name == "roc_auc" else self._pr)(slot[at : at + step].astype(np.intp), label, np.concatenate([[0], start]) if run else start, run)
+
+    def _roc(self, slot: np.ndarray, label: np.ndarray, start: np.ndarray, run: bool) -> None:
+        area, p, n = self._ordered(slot, label)
+        if len(start) < len(slot):  # of two tied rows either comes first in one of both orders
+            step = np.repeat(np.arange(len(start)), np.diff(start, append=len(slot)))
+            back = (start + np.append(start[1:], len(slot)))[step] - 1 - np.arange(len(slot))
+            area = (area + self._ordered(slot[back], label[back])[0]) / 2
+        self.area += self.tp * n + area
+        on = run and len(start) == 1
+        if run:
+            first, other = (p, n) if on else self._sums(slot[: start[1]], label[: start[1]])
+            self.area += (self.n * first - self.p * other) / 2
+        last, other = (p, n) if len(start) == 1 else self._sums(slot[start[-1] :], label[start[-1] :])
+        self.p, self.n = last + self.p * on, other + self.n * on
+        self.tp += p
+        self.fp += n
+
+    def _sums(self, slot: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of both classes in each draw."""
+        both = self.lines.take(slot, axis=0)
+        p = both[label > 0].sum(axis=0, dtype=float)
+        return p, both.sum(axis=0, dtype=float) - p
+
+    def _ordered(self, slot: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In each draw: weights of rows of class 0, each times the class 1 above it as if nothing were tied, summed; weights of both
+        classes. Each few rows are summed up at once and then follow one another as blocks."""
+        blocks = -(-len(slot) // TOGETHER)
+        place, side = np.full(blocks * TOGETHER, len(self.lines) - 1), np.zeros(blocks * TOGETHER, label.dtype)
+        place[: len(slot)], side[: len(slot)] = slot, label
+        up, down, area = (np.zeros((blocks, len(self.tp)), self.lines.dtype) for _ in range(3))
+        for at, one in zip(place.reshape(blocks, TOGETHER).T, side.reshape(blocks, TOGETHER).T, strict=True):
+            both = self.lines.take(at, axis=0)
+            p = both * one[:, None]
+            up += p
+            both -= p
+            down += both
+            both *= up  # a row is of one class
+            area += both
+        up, down = up.astype(float), down.astype(float)
+        above = np.cumsum(up, axis=0)
+        return area.sum(axis=0, dtype=float) + np.einsum("ij,ij->j", above - up, down), above[-1], down.sum(axis=0)
+
+    def _pr(self, slot: np.ndarray, label: np.ndarray, start: np.ndarray, run: bool) -> None:
+        both = self.lines.take(slot, axis=0)
+        ups = both * label[:, None]
+        p, n = (np.add.reduceat(x, start, axis=0, dtype=float) for x in (ups, both - ups))
+        tp, fp = self.tp + np.cumsum(p, axis=0), self.fp + np.cumsum(n, axis=0)
+        if run:
+            p[0] += self.p
+        else:  # the step before is over
+            p, tp, fp = np.vstack([self.p, p]), np.vstack([self.tp, tp]), np.vstack([self.fp, fp])
+        done, hits, falls = p[:-1], tp[:-1], fp[:-1]  # the last step may run on
+        self.area += np.divide(done * hits, hits + falls, out=np.zeros_like(done), where=done > 0).sum(axis=0)
+        self.p, self.tp, self.fp = p[-1], tp[-1], fp[-1]
 
     def values(self) -> list[float | None]:
         """One for each draw; None where it has one class."""
@@ -188,10 +221,31 @@ def walked(batches: Iterator[pa.RecordBatch], by: Sequence[str], name: str, draw
                     yield done()
                 if at is None or at[0] != block:
                     picked = Picked(range(block * step, min(draws, (block + 1) * step)))
-                at, key, walk = here, own, Walk(name, picked.counts(seed, n, block == 0))
+                at, key, walk = here, own, picked.walk(name, seed, n, block == 0)
             held.append((slots[i].as_py(), flags[i].as_py()))
             size += len(held[-1][1])
             if size >= CHUNK:
                 flush()
     if at is not None:
         yield done()
+
+
+def areas(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """(by..., p, n, area) of rows (by..., _slot, _label, _score) that come sorted by the keys, then by falling score: of each key the rows
+    of both classes, and those of class 0 each times the class 1 above it, ties by half."""
+    once, walk, at, key = np.ones((1, 1), np.uint8), None, None, None
+
+    def done(types: list[pa.DataType]) -> pa.RecordBatch:
+        own = [pa.array([v], t) for v, t in zip(key, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.float64()) for x in (walk.tp, walk.fp, walk.area))], names=[*by, "p", "n", "area"])
+
+    for batch in packed(batches, by):
+        types = [batch.schema.field(c).type for c in by]
+        for flags, *own in zip(batch.column("_flags").to_pylist(), *(batch.column(c).to_pylist() for c in by), strict=True):
+            if repr(own) != at:
+                if at is not None:
+                    yield done(types)
+                at, key, walk = repr(own), own, Walk("roc_auc", once)
+            walk.add(np.zeros(len(flags), np.int32), np.frombuffer(flags, np.uint8))
+    if at is not None:
+        yield done(types)

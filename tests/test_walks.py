@@ -7,8 +7,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from assayer.operators import resample, walks
+from assayer.functions import hashing
+from assayer.operators import fixtures, resample, resolution, walks
 from assayer.plans.catalogue import ORACLES, QUERIES
 from tests.test_catalogue import FOLDER, flat
 
@@ -55,3 +57,18 @@ def test_counts_are_those_of_the_relational_plan(spark):
     picked = walks.Picked(range(4))
     picked.counts("7", 100, False)
     assert (picked.counts("7", 300, False) == want).all() and (picked.counts("7", 300, False).sum(axis=1) == 300).all()
+
+
+@pytest.mark.parametrize("most", [2, walks.NARROW, 300])
+@pytest.mark.parametrize("kinds", [1, 7, 400, 1 << 40])
+def test_rows_are_summed_up_as_blocks(most, kinds):
+    rng = np.random.default_rng(kinds % 1000 + most)
+    label, slot, counts = rng.integers(0, 2, 1003), rng.integers(0, 30, 1003), rng.integers(0, most + 1, (5, 30))
+    score = rng.integers(0, kinds, 1003) / kinds
+    order = np.argsort(-score, kind="stable")
+    start = np.concatenate([[True], np.diff(score[order]) != 0])
+    lines = walks.by_slot(counts)
+    assert lines.dtype == (np.uint16 if counts.max() <= walks.NARROW else np.int64)
+    walk = walks.Walk("roc_auc", counts, lines)
+    walk.add(slot[order].astype(np.int32), (label[order] * walks.LABEL + start * walks.START).astype(np.uint8))
+    assert np.allclose(walk.values(), resample._areas(label, score, counts[:, slot].astype(float), "roc_auc"), rtol=1e-12)
