@@ -72,3 +72,12 @@ def test_rows_are_summed_up_as_blocks(most, kinds):
     walk = walks.Walk("roc_auc", counts, lines)
     walk.add(slot[order].astype(np.int32), (label[order] * walks.LABEL + start * walks.START).astype(np.uint8))
     assert np.allclose(walk.values(), resample._areas(label, score, counts[:, slot].astype(float), "roc_auc"), rtol=1e-12)
+
+
+def test_hashes_are_those_of_the_driver(spark):
+    df = spark.range(2000).select("id", hashing.unit_hash("k", F.col("id")).alias("u"), *(hashing.below("k", F.col("id"), s).alias(f"b{i}") for i, s in enumerate((0.2, 0.0, 1.0))))
+    for r in df.collect():
+        u = hashing.unit_hash_of("k", r["id"])
+        assert r["u"] == u and (r["b0"], r["b1"], r["b2"]) == (u < 0.2, False, u < 1.0)
+    none = spark.range(1).select(hashing.below("k", F.lit(None), 0.2).alias("b")).first()
+    assert none["b"] is None
