@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.hashing import pick
 from assayer.functions.metrics import metric
-from assayer.operators.walks import packed, walked
+from assayer.operators.walks import areas, packed, walked
 from assayer.sources.shared import stored
 
 LEVELS = (0.025, 0.975)
@@ -69,8 +69,13 @@ RANGES = 256
 RANKED = ("pr_auc", "roc_auc")
 
 
-def _small(rows: DataFrame, by: Sequence[str]) -> bool:
-    return (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= SMALL
+def _groups(kept: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., _seed, n), stored: each group has one seed."""
+    return stored(kept.groupBy(*by, "_seed").agg(F.count("*").alias("n")), "groups")
+
+
+def _small(groups: DataFrame) -> bool:
+    return (groups.agg(F.max("n")).first()[0] or 0) <= SMALL
 
 
 class _Picks:
@@ -120,7 +125,8 @@ def _drawn(rows: DataFrame, by: Sequence[str], scores: Sequence[str], name: str,
     """(by..., point, values array) of each group: the metric of the first score column, less that of the second if there is one,
     on the rows and on each draw in order (null: failed)."""
     kept = _kept(rows, by, scores, seed)
-    return (_matrices if _small(kept, by) else _walks)(kept, by, len(scores), name, draws)
+    groups = _groups(kept, by)
+    return _matrices(kept, by, len(scores), name, draws) if _small(groups) else _walks(kept, groups, by, len(scores), name, draws)
 
 
 def _matrices(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int) -> DataFrame:
@@ -145,18 +151,34 @@ def _matrices(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws:
     return kept.groupBy(*by).applyInArrow(run, schema)
 
 
-def _walks(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int) -> DataFrame:
+def _numbered(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., _seed, _g from 1 in the order of the seeds), stored."""
+    return stored(groups.select(*by, "_seed", F.row_number().over(Window.orderBy("_seed", *by)).alias("_g")), "numbers")
+
+
+def _by_number(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the number of their group."""
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(F.broadcast(groups.select("_g", *(F.col(c).alias(f"_of_{c}") for c in by))), same)
+
+
+def _falling(number: Column) -> Column:
+    """What rows are sorted by before their ``_score``: a number below 2**32 and 31 bits that do not fall as the score does, in one long.
+    Spark compares it as it is, and looks at the rows themselves only where it is equal."""
+    low = F.least(F.greatest(F.floor((1 - F.col("_score")) * float(1 << 30)), F.lit(0)), F.lit((1 << 31) - 1))
+    return number * (1 << 31) + F.coalesce(low, F.lit((1 << 31) - 1))
+
+
+def _walks(kept: DataFrame, groups: DataFrame, by: Sequence[str], sides: int, name: str, draws: int) -> DataFrame:
     """``_drawn`` for groups of any size. Rows are packed by falling score into chunks of five bytes a row, of which each block of
     draws gets a copy; its task holds the counts of its draws, and one chunk. Groups with one seed are walked by the same tasks, which
     hash their slots once."""
     spark = kept.sparkSession
     # groups are numbered in the order of their seeds; from here on a row names its group by a number
-    first = kept.groupBy(*by).agg(F.min("_seed").alias("_seed"))
-    groups = stored(first.withColumn("_g", F.row_number().over(Window.orderBy("_seed", *by))), "groups")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    own = kept.join(F.broadcast(groups.select("_g", *(F.col(c).alias(f"_of_{c}") for c in by))), same).select("_g", "cluster", "label", *(f"_s{i}" for i in range(sides)))
+    groups = _numbered(groups, by)
+    own = _by_number(kept, groups, by).select("_g", "cluster", "label", *(f"_s{i}" for i in range(sides)))
     slots = stored(cluster_slots(own, ["_g"]), "slots")
     sizes = slots.groupBy("_g").agg(F.max("slots").cast("long").alias("_slots"))
     most = sizes.agg(F.max("_slots")).first()[0] or 1
@@ -168,7 +190,7 @@ def _walks(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int
     long = numbered.select("_g", "_slot", F.col("label").alias("_label"), side.alias("_x")).select("_g", "_slot", "_label", "_x.*")
     long = long.withColumn("_range", F.floor(F.col("_score") * RANGES))
     order = ["_g", "_side", F.desc("_range")]
-    chunks = long.repartition("_g", "_side", "_range").sortWithinPartitions(*order, F.desc("_score"))
+    chunks = long.repartition("_g", "_side", "_range").sortWithinPartitions(_falling(F.col("_g").cast("long") * 2 + F.col("_side")), F.desc("_score"))
     chunks = chunks.mapInArrow(lambda batches: packed(batches, ["_g", "_side", "_range"]), "_g int, _side int, _range long, _seq long, _chunk binary, _flags binary")
     named = chunks.join(F.broadcast(groups.select("_g", "_seed").join(sizes, "_g")), "_g")
     dealt = named.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, "_block").sortWithinPartitions("_block", *order, "_seq")
@@ -180,6 +202,21 @@ def _walks(kept: DataFrame, by: Sequence[str], sides: int, name: str, draws: int
     return values.join(F.broadcast(groups), "_g").select(*by, "point", "values")
 
 
+def roc_auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., value) of rows (by..., label, score) that count once each; null where a group has one class. A group is dealt over ranges
+    of the score: each sums up its own pairs of rows, and those with the ranges above it follow from their counts."""
+    kept = stored(rows.select(*by, F.col("label").cast("int").alias("_label"), F.col("score").cast("double").alias("_score"), F.lit("").alias("_seed")), "scored")
+    groups = _numbered(_groups(kept, by), by)
+    own = _by_number(kept, groups, by).select("_g", F.floor(F.col("_score") * RANGES).alias("_range"), F.lit(0).alias("_slot"), "_label", "_score")
+    dealt = own.repartition("_g", "_range").sortWithinPartitions(_falling(F.col("_g").cast("long")), F.desc("_score"))
+    found = dealt.mapInArrow(lambda batches: areas(batches, ["_g", "_range"]), "_g int, _range long, p double, n double, area double")
+    higher = Window.partitionBy("_g").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("area", F.col("area") + F.col("n") * F.coalesce(F.sum("p").over(higher), F.lit(0.0)))
+    both = F.sum("p") * F.sum("n")
+    values = found.groupBy("_g").agg(F.when(both > 0, F.sum("area") / both).alias("value"))
+    return values.join(F.broadcast(groups), "_g").select(*by, "value")
+
+
 #: One cache a worker process.
 _PICKS: dict[str, _Picks] = {}
 

@@ -81,3 +81,17 @@ def test_hashes_are_those_of_the_driver(spark):
         assert r["u"] == u and (r["b0"], r["b1"], r["b2"]) == (u < 0.2, False, u < 1.0)
     none = spark.range(1).select(hashing.below("k", F.lit(None), 0.2).alias("b")).first()
     assert none["b"] is None
+
+
+def test_groups_are_counted_by_hash(spark):
+    df = spark.createDataFrame([("x", "0"), ("x", "0"), ("y", "1"), (None, "1")], "cell string, _seed string")
+    found = resample._groups(df, ["cell"])
+    assert {(r["cell"], r["_seed"], r["n"]) for r in found.collect()} == {("x", "0", 2), ("y", "1", 1), (None, "1", 1)}
+    assert "SortAggregate" not in df.groupBy("cell", "_seed").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_long_sorts_by_group_then_by_falling_score(spark):
+    scores = [0.0, -0.0, 1.0, 0.5, 0.5 + 2.0**-40, 7.25, -3.5, 1e300, -1e300, 1 - 2.0**-53]
+    df = spark.createDataFrame([(g, s) for g in (1, 2, 2**32 - 1) for s in scores], "g long, _score double")
+    got = [(r["g"], -r["_score"]) for r in df.repartition(1).sortWithinPartitions(resample._falling(F.col("g")), F.desc("_score")).collect()]
+    assert got == sorted(got)
