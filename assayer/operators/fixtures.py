@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.errors import FixtureError, refuse
-from assayer.functions.hashing import unit_hash
+from assayer.functions.hashing import below
 
 SPLITS = ("train", "validation", "test")
 NO_LABEL = "label rule returned no label"
@@ -66,9 +66,10 @@ def split_column(cluster: Column, key: str, test: tuple, validation: float) -> C
     """train, validation or test of a cluster under a split key. The test set is the same under every key; validation is
     drawn from the rest by a hash of its own."""
     first, second = test
-    tested = unit_hash(f"test/{second}", cluster) < F.lit(float(first)) if isinstance(first, float) else F.col(first).cast("string") == F.lit(str(second))
-    chosen = unit_hash(f"validation/{key}", cluster) < F.lit(float(validation))
-    return F.when(F.coalesce(tested, F.lit(False)), "test").when(chosen, "validation").otherwise("train")
+    tested = below(f"test/{second}", cluster, first) if isinstance(first, float) else F.col(first).cast("string") == F.lit(str(second))
+    chosen = below(f"validation/{key}", cluster, float(validation))
+    # nested, so that a filter on the test set makes no other hash
+    return F.when(F.coalesce(tested, F.lit(False)), "test").otherwise(F.when(chosen, "validation").otherwise("train"))
 
 
 def in_arm(arm: Arm) -> Column:

@@ -74,6 +74,13 @@ def test_rows_are_summed_up_as_blocks(most, kinds):
     assert np.allclose(walk.values(), resample._areas(label, score, counts[:, slot].astype(float), "roc_auc"), rtol=1e-12)
 
 
+def test_a_filter_on_the_test_set_makes_one_hash(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "x"))
+    split = fixtures.split_column(F.col("id").cast("string"), "split-0", (0.2, "test-v1"), 0.25)
+    plan = spark.read.parquet(str(tmp_path / "x")).withColumn("s", split).where("s = 'test'").select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "conv(" not in plan
+
+
 def test_hashes_are_those_of_the_driver(spark):
     df = spark.range(2000).select("id", hashing.unit_hash("k", F.col("id")).alias("u"), *(hashing.below("k", F.col("id"), s).alias(f"b{i}") for i, s in enumerate((0.2, 0.0, 1.0))))
     for r in df.collect():
