@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Slots that are hashed, and rows that are unpacked, at a time; numbers (rows x draws) that are walked at a time.
-PIECE, CHUNK, WALKED = 1 << 16, 1 << 15, 1 << 17
+PIECE, CHUNK, WALKED = 1 << 12, 1 << 15, 1 << 17
 #: Rows without ties that are summed up as one, and counts up to which their sums fit 16 bits.
 TOGETHER, NARROW = 16, 15
 #: A row's flags in a chunk: it is of class 1; its score differs from the row's before.
