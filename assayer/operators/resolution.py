@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.resample import bootstrap_metric
+from assayer.sources.shared import stored
 
 TERMS = ("split", "fit", "test")
 WIDTH = 1.96
@@ -56,5 +57,6 @@ def test_sizes(predictions: DataFrame) -> DataFrame:
 def resolve(scores: DataFrame, predictions: DataFrame, name: str, draws: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
     """The resolution table of a complete grid's scores and test predictions."""
     on = ["cell", "method"]
+    scores = stored(scores, "scores")  # both terms read it
     terms = split_terms(scores).join(fit_terms(scores), on, "full").join(test_terms(predictions, name, draws), on, "full")
     return floors(terms, threshold)

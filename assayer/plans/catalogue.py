@@ -357,7 +357,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def run_scores(spark: SparkSession, d: str) -> DataFrame:
     by = ["cell", "method", "split_key", "seed"]
-    return metrics.ranked(resample.weighted_once(runs(spark, d).where("split = 'validation'")), by).select(*by, F.col("roc_auc").alias("score"))
+    return resample.roc_auc(runs(spark, d).where("split = 'validation'"), by).withColumnRenamed("value", "score")
 
 
 SPLIT_TERM = "SELECT cell, method, avg(s) AS split_term FROM (SELECT cell, method, seed, 1.96 * stddev_samp(roc_auc) AS s FROM scores GROUP BY ALL) GROUP BY ALL"

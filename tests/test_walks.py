@@ -102,3 +102,30 @@ def test_one_long_sorts_by_group_then_by_falling_score(spark):
     df = spark.createDataFrame([(g, s) for g in (1, 2, 2**32 - 1) for s in scores], "g long, _score double")
     got = [(r["g"], -r["_score"]) for r in df.repartition(1).sortWithinPartitions(resample._falling(F.col("g")), F.desc("_score")).collect()]
     assert got == sorted(got)
+
+
+def test_scores_are_computed_once_for_both_terms(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("c", "m", k, s, float(i)) for i, (k, s) in enumerate((k, s) for k in ("a", "b") for s in (0, 1))]
+    scores = spark.createDataFrame(rows, "cell string, method string, split_key string, seed int, score double")
+    tests = scores.select("cell", "method", "split_key", "seed", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("x"))
+    tests = tests.select("*", F.col("x").cast("string").alias("cluster"), (F.col("x") % 2).cast("int").alias("label"), (F.col("x") / 10).alias("score")).drop("x")
+    assert resolution.resolve(scores.mapInArrow(count, scores.schema), tests, "roc_auc", 5).count() == 1 and seen.value == len(rows)
+
+
+@pytest.mark.parametrize("kinds", [1, 5, 1 << 40])
+def test_areas_of_ranges_add_up(spark, kinds):
+    rng = np.random.default_rng(kinds % 1000)
+    label, score = rng.integers(0, 2, 3000), rng.integers(0, kinds, 3000) / kinds
+    cells = [None, "x", "y"] * 1000
+    rows = [(c, int(y), float(s)) for c, y, s in zip(cells, label, score, strict=True)] + [("one class", 1, 0.5)]
+    got = {r["cell"]: r["value"] for r in resample.roc_auc(spark.createDataFrame(rows, "cell string, label int, score double"), ["cell"]).collect()}
+    assert got.pop("one class") is None and len(got) == 3
+    for i, c in enumerate([None, "x", "y"]):
+        assert abs(got[c] - resample._areas(label[i::3], score[i::3], np.ones((1, 1000)), "roc_auc")[0]) < 1e-12
