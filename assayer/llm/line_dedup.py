@@ -153,6 +153,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 #: Places up to which (doc_id, place) is one number, and what a null doc_id counts as.
 PLACES, NULL_DOC = 1 << 31, -(1 << 63)
+#: Lines that stand in more places than this, and in more than this share of all, are frequent.
+OFTEN, SHARE = 1_000, 1e-4
 
 
 def _exact(n: int) -> Column:
@@ -163,6 +165,11 @@ def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("decimal(20,0)"), _exact(NULL_DOC))
 
 
+def _order() -> Column:
+    """(doc_id, place) as one number."""
+    return (_doc() * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+
+
 def _ids() -> list[Column]:
     """128 bits of a line: at 10**12 different lines the chance that any two share them is below 10**-14."""
     return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(2), "line").alias("id2")]
@@ -177,19 +184,33 @@ def _lines_at(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.get(found, F.lit(0))).alias("l")).select("l.*").where("id = xxhash64(line) and id2 = xxhash64(2, line)")
 
 
+def _frequent(firsts: DataFrame) -> DataFrame:
+    """(id, id2, first) of lines (id, id2, first, n) that stand in more than OFTEN places and more than a SHARE of all: 1 / SHARE at most."""
+    most = firsts.agg(F.sum("n")).first()[0] or 0
+    return firsts.where(F.col("n") > max(OFTEN, int(most * SHARE))).select("id", "id2", "first")
+
+
+def _once(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, line, size) of lines, the frequent ones only from where they first stand: their keys would all go to the same tasks."""
+    own = lines(docs).select(*_ids(), "line", F.length("line").alias("size"), _order().alias("order"))
+    often = F.broadcast(_frequent(firsts))
+    return own.join(often, ["id", "id2"], "left").where("first is null or first = order").select("id", "line", "size")
+
+
 def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, a2, b, b2, distance): the pairs of different lines no more edits apart than the shorter one's ``reach``, each named by
-    128 bits of its text; ``firsts`` has (id, id2, first) of each different line.
+    128 bits of its text; ``firsts`` has (id, id2, first, n) of each different line: its least place and how many it has.
 
     Lines are cut into a segment more than their edits, of which one must stand unharmed in any line within reach; an index of the
     segments, by length and place, is met by the substrings of the longer line (PassJoin; Li et al., 2011). A segment that many
     lines share would propose all their pairs; so lines meet only where a part of their character counts agrees too, of which
     lines within reach must share one, and where the counts differ by no more than the edits can. What is left is verified.
     """
-    own = lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
-    keyed = _keyed(own, edits)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed")).where("low <> high and indexed")
-    shared = table(shared.select("key"), "segments")
+    # dealt by key once, for those that find which keys are shared and for those that hold them: the sum reads every column, so that
+    # Spark takes both for the same
+    keyed = _keyed(_once(docs, firsts), edits).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed"), F.max("gap").alias("gap"))
+    shared = shared.where("low <> high and indexed and gap >= 0").select("key")
     held = table(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "held")
     texts = table(_lines_at(docs, firsts.join(held.select("id").distinct(), "id", "left_semi")).distinct().withColumn("counts", _counts(F.col("line"))), "lines")
     parts = F.transform(F.sequence(F.lit(0), F.lit(2 * edits)), _part(edits))
@@ -214,12 +235,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     earlier, by (doc_id, pos); ``links`` counts the different lines it links to. Null doc_ids come first; rows with the same
     doc_id and place come together."""
     all_ = table(lines(docs).select("doc_id", "pos", *_ids()), "all")
-    order = (_doc() * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    firsts = table(all_.groupBy("id", "id2").agg(F.min(order).alias("first")), "firsts")
+    order = _order()
+    firsts = table(all_.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n")), "firsts")
     found = table(links(docs, firsts, edits), "links")
     both = found.select("a", "a2", "b", "b2").union(found.select("b", "b2", "a", "a2"))
     both = both.join(firsts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), "first"), ["b", "b2"]).groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    known = table(firsts.join(both, ["id", "id2"], "left"), "known")
+    known = table(firsts.drop("n").join(both, ["id", "id2"], "left"), "known")
     joined = all_.join(known, ["id", "id2"])
     earlier = (order > F.col("first")) | F.coalesce(F.col("near") < F.col("first"), F.lit(False))
     return joined.select("doc_id", "pos", earlier.alias("removed"), F.coalesce("links", long(0)).alias("links"))
