@@ -197,7 +197,7 @@ def _once(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return own.join(often, ["id", "id2"], "left").where("first is null or first = order").select("id", "line", "size")
 
 
-def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, once: bool = True) -> DataFrame:
     """(a, a2, b, b2, distance): the pairs of different lines no more edits apart than the shorter one's ``reach``, each named by
     128 bits of its text; ``firsts`` has (id, id2, first, n) of each different line: its least place and how many it has.
 
@@ -206,11 +206,14 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     lines share would propose all their pairs; so lines meet only where a part of their character counts agrees too, of which
     lines within reach must share one, and where the counts differ by no more than the edits can. What is left is verified.
     """
-    # dealt by key once, for those that find which keys are shared and for those that hold them: the sum reads every column, so that
-    # Spark takes both for the same
-    keyed = _keyed(_once(docs, firsts), edits).repartition("key")
+    if once:
+        # dealt by key for those that find which keys are shared and for those that hold them: the sum reads every column, so that
+        # Spark takes both for the same
+        keyed = _keyed(_once(docs, firsts), edits).repartition("key")
+    else:
+        keyed = _keyed(lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size")), edits)
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed"), F.max("gap").alias("gap"))
-    shared = shared.where("low <> high and indexed and gap >= 0").select("key")
+    shared = shared.where("low <> high and indexed and gap >= 0").select("key") if once else table(shared.where("low <> high and indexed").select("key"), "segments")
     held = table(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "held")
     texts = table(_lines_at(docs, firsts.join(held.select("id").distinct(), "id", "left_semi")).distinct().withColumn("counts", _counts(F.col("line"))), "lines")
     parts = F.transform(F.sequence(F.lit(0), F.lit(2 * edits)), _part(edits))
@@ -230,14 +233,14 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     return measured.where("distance <= most").drop("most").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, once: bool = True) -> DataFrame:
     """(doc_id, pos, removed, links) of each non-empty line: ``removed`` if an equal line or a linked one comes
     earlier, by (doc_id, pos); ``links`` counts the different lines it links to. Null doc_ids come first; rows with the same
     doc_id and place come together."""
     all_ = table(lines(docs).select("doc_id", "pos", *_ids()), "all")
     order = _order()
     firsts = table(all_.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n")), "firsts")
-    found = table(links(docs, firsts, edits), "links")
+    found = table(links(docs, firsts, edits, once), "links")
     both = found.select("a", "a2", "b", "b2").union(found.select("b", "b2", "a", "a2"))
     both = both.join(firsts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), "first"), ["b", "b2"]).groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
     known = table(firsts.drop("n").join(both, ["id", "id2"], "left"), "known")
@@ -246,7 +249,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return joined.select("doc_id", "pos", earlier.alias("removed"), F.coalesce("links", long(0)).alias("links"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, once: bool = True) -> DataFrame:
     """Each row of ``docs`` with its other columns and: text without its removed lines, ``removed`` (their places from 0),
     ``n_lines`` and ``n_links``.
 
@@ -254,10 +257,11 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     earlier by (doc_id, place). So lines under EACH characters go only as equals: at one edit they would be other words. Empty lines stay and never link; a text all of whose other lines go becomes what is left, null and empty
     texts stay as they are. Rows that share a doc_id lose the places that go in any of them, but the least such row's first
     occurrence counts for all. Columns named removed, n_lines or n_links in the input are replaced. Lines are told apart by
-    128 bits of their text.
+    128 bits of their text. With ``once`` each line's keys are made once and dealt to both that need them; without, they are made
+    twice, which takes more CPU. The rows are the same.
     """
     own = docs.drop("removed", "n_lines", "n_links")
-    found = repeated_lines(own, edits).groupBy(F.col("doc_id").alias("_doc")).agg(
+    found = repeated_lines(own, edits, once).groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("pos")))).alias("removed"), F.sum("links").alias("n_links")
     )
     joined = own.join(table(found, "removed"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")

@@ -22,6 +22,7 @@ def test_frequent_lines_give_the_same_rows(spark, monkeypatch, often):
     firsts = spark.createDataFrame([(1, 1, 0, often), (2, 2, 5, often + 1)], "id long, id2 long, first long, n long")
     assert [r["id"] for r in line_dedup._frequent(firsts).collect()] == [2]
     assert rows(line_dedup.dedup_lines(docs)) == want
+    assert rows(line_dedup.dedup_lines(docs, once=False)) == want
 
 
 def test_lines_are_cut_into_keys_once(spark, monkeypatch):
